@@ -1,0 +1,37 @@
+"""Intermediate tables that must read the same every time they are read."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_local_dir: str | None = None
+
+
+def staging_dir(spark: SparkSession) -> str:
+    """The shared folder named by the session, or a temporary one in local mode."""
+    global _local_dir
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder all executors share before using "
+            "operators that write an intermediate table"
+        )
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="colonnade-staging-")
+    return _local_dir
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and return a frame that reads the written table.
+
+    Parquet rather than a row checkpoint: later passes read only the columns
+    they need, and a lost executor costs a re-read, not a re-sort.
+    """
+    path = f"{staging_dir(df.sparkSession)}/colonnade/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
