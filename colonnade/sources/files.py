@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.errors import AnalysisException, PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
         raise UnreadableTable(f"{path} is not a .parquet file")
     try:
         df = spark.read.parquet(path)
-    except (AnalysisException, PySparkException) as error:
+    except (PySparkException, Py4JJavaError) as error:
         raise UnreadableTable(f"{path} cannot be read as Parquet: {error}") from error
     check_distinct_names(df.columns)
     return df

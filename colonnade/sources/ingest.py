@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,13 +124,11 @@ def ingest(
     from colonnade.sources.files import base_name
 
     try:
-        text = read_text_table(spark, path, sep, multiline)
-        frame = typed(text, sensitivity, lenient_int)
-        write_table(frame, out)
-    except PySparkException as error:
+        # The vote reads every line, so a malformed one shows before the write.
+        frame = typed(read_text_table(spark, path, sep, multiline), sensitivity, lenient_int)
+    except (PySparkException, Py4JJavaError) as error:
         if "MALFORMED" not in str(error):
             raise
-        # The failed attempt may have left its folder behind; use one beside it.
-        out = out.removesuffix(".parquet") + "-lenient.parquet"
-        write_table(read_lenient(spark, path, sep), out)
+        frame = read_lenient(spark, path, sep)
+    write_table(frame, out)
     return Table.open(spark, out, alias or base_name(path))

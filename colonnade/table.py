@@ -45,9 +45,13 @@ class Table:
         table = cls(read_parquet(spark, path), alias or base_name(path), path)
         return table.mark_empty()
 
-    def mark_empty(self) -> Table:
-        empty = {name: LogicalType.EMPTY for name in edit.find_empty(self.df)}
-        return replace(self, kinds={**self.kinds, **empty})
+    def mark_empty(self, *columns: str) -> Table:
+        """Look again which text columns (all, or the named ones) hold no value."""
+        looked = columns or self.columns
+        empty = edit.find_empty(edit.select(self.df, looked))
+        fresh = {n: k for n, k in logical_types(self.df).items() if n in looked}
+        fresh.update({name: LogicalType.EMPTY for name in empty})
+        return replace(self, kinds={**self.kinds, **fresh})
 
     # --- columns ---
 
@@ -134,7 +138,7 @@ class Table:
 
     def retype(self, column: int | str, to: LogicalType, lenient_int: bool = False) -> Table:
         name = self.column(column)
-        return self.rewritten(edit.retype(self.df, name, to, lenient_int)).mark_empty()
+        return self.rewritten(edit.retype(self.df, name, to, lenient_int)).mark_empty(name)
 
     def update_cell(self, row: int, column: int | str, value, key: Sequence[str] = ()) -> Table:
         """Replace one cell by its 0-based row in the filtered and sorted view."""
@@ -142,8 +146,7 @@ class Table:
         edited = edit.update_cell(
             self.df, row, name, value, flt.ordering(self.filters), self.filters, key
         )
-        table = self.rewritten(edited)
-        return table.mark_empty() if self.kinds[name].is_empty else table
+        return self.rewritten(edited).mark_empty(name)
 
     def renamed(self, alias: str) -> Table:
         return replace(self, alias=alias)
