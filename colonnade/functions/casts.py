@@ -10,15 +10,13 @@ from colonnade.types import LogicalType
 # The texts read as booleans, and the date layouts in trial order.
 TRUE_TEXTS = ("true", "t", "yes", "y", "1")
 FALSE_TEXTS = ("false", "f", "no", "n", "0")
-DATE_LAYOUTS = (
-    ("day/month/year", r"^\d{1,2}/\d{1,2}/\d{1,4}$", "d/M/y"),
-    ("year-month-day", r"^\d{1,4}-\d{1,2}-\d{1,2}$", "y-M-d"),
-    ("month/day/year", r"^\d{1,2}/\d{1,2}/\d{1,4}$", "M/d/y"),
-)
+DATE_LAYOUTS = ("d/M/y", "y-M-d", "M/d/y")
 
+# A failed parse costs an exception, so the patterns let through little that fails.
+_DATE_PARTS = {"d": r"(0?[1-9]|[12]\d|3[01])", "M": r"(0?[1-9]|1[0-2])", "y": r"\d{1,4}"}
 _INTEGER = r"^\s*[+-]?\d+\s*$"
-# Java also reads 1d, 1f and hex floats; the pattern keeps those out.
-_DECIMAL = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)\s*$"
+# Java also reads 1d, 1f and hex floats; this keeps those out.
+_DECIMAL = r"(?i)^\s*[+-]?((\d+{point}?\d*|{point}\d+)(e[+-]?\d+)?|nan|inf|infinity)\s*$"
 _ISO_DATE = r"^\s*(\d{4})[-/](\d{1,2})[-/](\d{1,2})([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
 
 
@@ -26,14 +24,17 @@ def to_integer(text: Column, lenient: bool = False) -> Column:
     """32-bit integer. ``lenient`` also rounds decimal texts, halves to even."""
     if lenient:
         return F.rint(to_double(text, comma=False)).try_cast("int")
-    return F.when(text.rlike(_INTEGER), F.trim(text).try_cast("int"))
+    whole = text.try_cast("bigint")
+    fits = F.when(whole.between(-(2**31), 2**31 - 1), whole.cast("int"))
+    return F.when(text.rlike(_INTEGER), fits)
 
 
 def to_double(text: Column, comma: bool = True) -> Column:
     """Double; ``comma`` reads a decimal comma as a decimal point."""
-    if comma:
-        text = F.translate(text, ",", ".")
-    return F.when(text.rlike(_DECIMAL), F.trim(text).try_cast("double"))
+    if not comma:
+        return F.when(text.rlike(_DECIMAL.replace("{point}", r"\.")), text.try_cast("double"))
+    pointed = F.translate(text, ",", ".").try_cast("double")
+    return F.when(text.rlike(_DECIMAL.replace("{point}", "[.,]")), pointed)
 
 
 def to_boolean(text: Column) -> Column:
@@ -43,12 +44,15 @@ def to_boolean(text: Column) -> Column:
     )
 
 
+def _date_shape(layout: str) -> str:
+    return r"^\s*" + "".join(_DATE_PARTS.get(c, c) for c in layout) + r"\s*$"
+
+
 def to_date(text: Column) -> Column:
-    """Date by the first layout that fits."""
-    trimmed = F.trim(text)
+    """Date by the first layout that fits: day first, year first, month first."""
     tries = [
-        F.when(trimmed.rlike(shape), F.try_to_date(trimmed, layout))
-        for _, shape, layout in DATE_LAYOUTS
+        F.when(text.rlike(_date_shape(layout)), F.try_to_date(F.trim(text), layout))
+        for layout in DATE_LAYOUTS
     ]
     return F.coalesce(*tries)
 

@@ -21,23 +21,18 @@ def describe(df: DataFrame, kinds: Mapping[str, LogicalType] | None = None) -> D
         kind = kinds[field.name]
         # Nested columns only take part in counts and null tests.
         flat = not is_nested(field.dataType)
-        rows.append(
-            (
-                i,
-                field.name,
-                field.dataType.simpleString(),
-                kind.value,
-                flat and kind.is_numeric,
-                flat and kind.is_categorical,
-                flat,
-                not kind.is_empty,
-            )
-        )
-    return df.sparkSession.createDataFrame(
-        rows,
-        "ordinal int, column string, spark_type string, logical_type string, "
-        "chart_value boolean, chart_group boolean, chart_outer boolean, filterable boolean",
-    )
+        row = {
+            "ordinal": i,
+            "column": field.name,
+            "spark_type": field.dataType.simpleString(),
+            "logical_type": kind.value,
+            "chart_value": flat and kind.is_numeric,
+            "chart_group": flat and kind.is_categorical,
+            "chart_outer": flat,
+            "filterable": not kind.is_empty,
+        }
+        rows.append(F.struct(*[F.lit(value).alias(name) for name, value in row.items()]))
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def column_summary(

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from colonnade.types import classify, col, field_type
 
 # At most this many values of a column are gathered in one task.
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 100_000
 _SKETCH_ACCURACY = 1000
 
 
@@ -38,6 +38,10 @@ class _Rank:
     value: float | int | None = None
     done: bool = False
 
+    def bounds(self) -> tuple:
+        """Ranks with equal bounds share their passes."""
+        return self.column, self.low, self.high
+
     def window(self) -> Column:
         """The column where it lies strictly between the bounds, else null."""
         c = F.col(self.column)
@@ -64,47 +68,59 @@ class _Rank:
             self.low, self.below = b, lt_b + eq_b
 
 
+def _by_bounds(ranks: list[_Rank]) -> list[list[_Rank]]:
+    groups: dict[tuple, list[_Rank]] = {}
+    for r in ranks:
+        groups.setdefault(r.bounds(), []).append(r)
+    return list(groups.values())
+
+
 def _close_in(df: DataFrame, ranks: list[_Rank], exact_rows: int) -> None:
     """Narrow every rank until it is found or few values are left around it."""
+    margin = 1.5 / _SKETCH_ACCURACY
     while True:
-        wide = [r for r in ranks if not r.done and r.inside > exact_rows]
+        wide = _by_bounds([r for r in ranks if not r.done and r.inside > exact_rows])
         if not wide:
             return
-        margin = 1.5 / _SKETCH_ACCURACY
-        proposals = []
-        for r in wide:
-            at = (r.rank - r.below) / r.inside
-            probes = F.array(F.lit(max(at - margin, 0.0)), F.lit(min(at + margin, 1.0)))
-            proposals.append(F.percentile_approx(r.window(), probes, _SKETCH_ACCURACY))
-        bounds = df.agg(*[p.alias(f"p{i}") for i, p in enumerate(proposals)]).first()
-        counts = []
-        for i, r in enumerate(wide):
-            c = F.col(r.column)
-            for j, bound in enumerate(bounds[f"p{i}"]):
-                counts.append(F.count_if(c < F.lit(bound)).alias(f"lt{i}_{j}"))
-                counts.append(F.count_if(c == F.lit(bound)).alias(f"eq{i}_{j}"))
-        seen = df.agg(*counts).first()
-        for i, r in enumerate(wide):
-            a, b = bounds[f"p{i}"]
-            r.narrow(
-                a, b, (seen[f"lt{i}_0"], seen[f"eq{i}_0"], seen[f"lt{i}_1"], seen[f"eq{i}_1"])
+        sketches = []
+        for group in wide:
+            at = [(r.rank - r.below) / r.inside for r in group]
+            probes = [F.lit(min(max(x + d, 0.0), 1.0)) for x in at for d in (-margin, margin)]
+            sketches.append(
+                F.percentile_approx(group[0].window(), F.array(*probes), _SKETCH_ACCURACY)
             )
-
-
-def _rank_values(df: DataFrame, ranks: list[_Rank]) -> DataFrame:
-    """One row with the value of each rank, ``r0 .. rn``."""
-    picks, inputs = [], []
-    for i, r in enumerate(ranks):
-        if r.done:
-            picks.append(F.lit(r.value).cast("double").alias(f"r{i}"))
-            continue
-        inputs.append(r.window().alias(f"w{i}"))
+        proposed = df.agg(*[s.alias(f"p{i}") for i, s in enumerate(sketches)]).first()
+        found = {g[0].bounds(): proposed[f"p{i}"] for i, g in enumerate(wide)}
+        marks = sorted({(key[0], bound) for key, values in found.items() for bound in values})
+        counts = []
+        for i, (column, bound) in enumerate(marks):
+            counts.append(F.count_if(F.col(column) < F.lit(bound)).alias(f"lt{i}"))
+            counts.append(F.count_if(F.col(column) == F.lit(bound)).alias(f"eq{i}"))
+        row = df.agg(*counts).first()
+        seen = {mark: (row[f"lt{i}"], row[f"eq{i}"]) for i, mark in enumerate(marks)}
+        for group in wide:
+            values = found[group[0].bounds()]
+            for j, r in enumerate(group):
+                a, b = values[2 * j], values[2 * j + 1]
+                r.narrow(a, b, (*seen[r.column, a], *seen[r.column, b]))
+
+
+def _rank_values(df: DataFrame, ranks: list[_Rank]) -> tuple[DataFrame, dict[int, Column]]:
+    """A one-row frame, and the value of each rank as a column of it, by position."""
+    place = {id(r): i for i, r in enumerate(ranks)}
+    picks = {place[id(r)]: F.lit(r.value).cast("double") for r in ranks if r.done}
+    inputs, gathered = [], []
+    for i, group in enumerate(_by_bounds([r for r in ranks if not r.done])):
+        inputs.append(group[0].window().alias(f"w{i}"))
         # The half step keeps rounding away from the neighbouring ranks.
-        at = (r.rank - r.below + 0.5) / r.inside
-        pick = F.expr(f"percentile_disc({at!r}D) WITHIN GROUP (ORDER BY w{i})")
-        picks.append(pick.cast("double").alias(f"r{i}"))
-    base = df.select(*inputs) if inputs else df.select(F.lit(1)).limit(1)
-    return base.agg(F.lit(1).alias("one"), *picks).drop("one")
+        spots = ", ".join(f"{(r.rank - r.below + 0.5) / r.inside!r}D" for r in group)
+        gathered.append(
+            F.expr(f"percentile_disc(array({spots})) WITHIN GROUP (ORDER BY w{i})").alias(f"g{i}")
+        )
+        for j, r in enumerate(group):
+            picks[place[id(r)]] = F.col(f"g{i}")[j].cast("double")
+    base = df.select(*inputs) if inputs else df.select(F.lit(1).alias("one")).limit(1)
+    return base.agg(F.lit(1).alias("one"), *gathered), picks
 
 
 def _measurable(df: DataFrame, name: str) -> Column:
@@ -165,7 +181,7 @@ def _by_rank(data, inner, probabilities, sizes, exact_rows) -> DataFrame:
                 ranks.setdefault((alias, rank), _Rank(alias, rank, 0, n))
     _close_in(data, list(ranks.values()), exact_rows)
     position = {key: i for i, key in enumerate(ranks)}
-    one = _rank_values(data, list(ranks.values()))
+    one, picks = _rank_values(data, list(ranks.values()))
     arrays = []
     for alias in inner.values():
         values = []
@@ -174,7 +190,7 @@ def _by_rank(data, inner, probabilities, sizes, exact_rows) -> DataFrame:
                 values.append(F.lit(None).cast("double"))
                 continue
             low, high, part = spots[alias, p]
-            a, b = (F.col(f"r{position[alias, rank]}") for rank in (low, high))
+            a, b = (picks[position[alias, rank]] for rank in (low, high))
             values.append(a if low == high else a + F.lit(part) * (b - a))
         arrays.append(F.array(*values).alias(alias))
     return _tall(one.select(*arrays), inner, probabilities)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colonnade.functions import aggregates as agg
-from colonnade.types import LogicalType, classify, col, field_type, is_nested, require, require_numeric
+from colonnade.types import LogicalType, col, field_type, is_nested, require, require_numeric
 
 # Fixed value: longer category lists are reported by their number only.
 MENU_CATEGORIES = 25
+# Columns whose distinct values are counted together.
+DISTINCT_GROUP = 8
 
 
 def numeric_statistics(
@@ -97,67 +99,41 @@ def category_menu(df: DataFrame, column: str, most: int = MENU_CATEGORIES) -> tu
     return [], found.count()
 
 
-# --- value counts of many columns at once -----------------------------------------
+# --- counts of many columns at once ---------------------------------------------
 
 
-def _as_text(df: DataFrame, name: str) -> Column:
-    """A text that differs exactly when the values differ."""
-    spark_type = field_type(df, name)
-    c = col(name)
-    if isinstance(spark_type, (T.FloatType, T.DoubleType)):
-        c = c + F.lit(0.0)  # one zero
-    elif isinstance(spark_type, T.TimestampType):
-        c = F.unix_micros(c)
-    elif isinstance(spark_type, T.BinaryType):
-        c = F.hex(c)
-    return c.cast("string")
-
-
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(ordinal, value, n)`` over all given columns with one scan and one shuffle.
+def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """``(column, row_count, non_null, distinct_count)`` for each column.
 
-    Values are texts; counts are combined before the shuffle, so a value that fills
-    most of a column travels once per task.
+    Exact counts group the distinct values of a few columns at a time, each group
+    reading its own columns, so that neither plans nor rows grow with wide tables.
+    ``approx`` counts all columns in one pass without a shuffle of values.
     """
     for name in columns:
         if is_nested(field_type(df, name)):
-            raise ValueError(f"column {name!r} is nested and has no value counts")
-    cells = [
-        F.struct(F.lit(i).alias("ordinal"), _as_text(df, name).alias("value"))
-        for i, name in enumerate(columns)
-    ]
-    return (
-        df.select(F.inline(F.array(*cells)))
-        .groupBy("ordinal", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+            raise ValueError(f"column {name!r} is nested and has no distinct count")
+    width = len(columns) if approx else DISTINCT_GROUP
+    count = F.approx_count_distinct if approx else F.count_distinct
+    groups = [columns[i : i + width] for i in range(0, len(columns), width)]
+    return reduce(DataFrame.unionAll, [_distinct_group(df, group, count) for group in groups])
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
-    """``(column, row_count, non_null, distinct_count)`` for each column."""
-    if approx:
-        row = df.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-            *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-        )
-        cells = [
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col("rows").alias("row_count"),
-                F.col(f"n{i}").alias("non_null"),
-                F.col(f"d{i}").alias("distinct_count"),
-            )
-            for i, c in enumerate(columns)
-        ]
-        return row.select(F.inline(F.array(*cells)))
-    per_column = value_counts(df, columns).groupBy("ordinal").agg(
-        F.sum("n").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-        F.count("value").alias("distinct_count"),
+def _distinct_group(df, columns, count) -> DataFrame:
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[count(col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
     )
-    name = F.array(*[F.lit(c) for c in columns])[F.col("ordinal")]
-    return per_column.select(name.alias("column"), "row_count", "non_null", "distinct_count")
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.col("rows").alias("row_count"),
+            F.col(f"n{i}").alias("non_null"),
+            F.col(f"d{i}").alias("distinct_count"),
+        )
+        for i, c in enumerate(columns)
+    ]
+    return row.select(F.inline(F.array(*cells)))
 
 
 def null_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -191,7 +167,3 @@ def date_statistics(df: DataFrame, column: str, **options) -> DataFrame:
     middle = date_median(df, column, **options).select("median").scalar()
     return ends.withColumn("median", middle)
 
-
-def is_text(df: DataFrame, name: str) -> bool:
-    spark_type = field_type(df, name)
-    return classify(spark_type) is LogicalType.STRING and not is_nested(spark_type)

@@ -25,12 +25,12 @@ def extension(path: str) -> str:
     return posixpath.splitext(path.rstrip("/"))[1].lstrip(".").lower()
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length)`` of the files under a path, read from the listing only."""
+def listing(spark: SparkSession, *paths: str) -> DataFrame:
+    """``(path, length)`` of the files under the paths, read from the listing only."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .load(path)
+        .load(list(paths))
         .select("path", "length")
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -16,9 +17,6 @@ from colonnade.table import Table
 from colonnade.types import LogicalType, col
 
 DEFAULT_SENSITIVITY = 0.95
-# Beyond this many columns the vote counts from (column, value) rows, which keeps
-# the plan small however wide the table is.
-WIDE_COLUMNS = 40
 
 # Types in the order they are tried.
 _CANDIDATES = (
@@ -38,7 +36,8 @@ def _votes(text: Column, lenient_int: bool) -> dict[str, Column]:
 
 def _winner(sensitivity: float) -> Column:
     chosen = F.when(F.col("non_null") == 0, LogicalType.STRING.value)
-    needed = F.col("non_null") * F.lit(float(sensitivity))
+    # A decimal, so that 95 of 100 is enough for 0.95.
+    needed = F.col("non_null") * F.lit(Decimal(str(sensitivity)))
     for kind in _CANDIDATES:
         chosen = chosen.when(F.col(kind.value.lower()) >= needed, kind.value)
     return chosen.otherwise(LogicalType.STRING.value)
@@ -53,27 +52,22 @@ def vote(
     """One row per text column: how many values fit each type, and the type chosen.
 
     The first of boolean, integer, double, date that fits at least ``sensitivity``
-    of the present values wins; a column with none stays text. One scan.
+    of the present values wins; a column with none stays text. One scan: cells turn
+    into (column, text) rows that are counted before they leave their task, so the
+    plan stays the same size however wide the table is.
     """
     names = list(df.columns if columns is None else columns)
-    if len(names) > WIDE_COLUMNS:
-        cells = [F.struct(F.lit(i).alias("ordinal"), col(n).alias("text")) for i, n in enumerate(names)]
-        counted = (
-            df.select(F.inline(F.array(*cells)))
-            .groupBy("ordinal")
-            .agg(*[c.alias(k) for k, c in _votes(F.col("text"), lenient_int).items()])
-        )
-        label = F.array(*[F.lit(n) for n in names])[F.col("ordinal")]
-        votes = counted.select("ordinal", label.alias("column"), *list(_votes(F.col("x"), False)))
-    else:
-        sums, cells = [], []
-        for i, name in enumerate(names):
-            fields = [F.lit(i).alias("ordinal"), F.lit(name).alias("column")]
-            for key, count in _votes(col(name), lenient_int).items():
-                sums.append(count.alias(f"{key}_{i}"))
-                fields.append(F.col(f"{key}_{i}").alias(key))
-            cells.append(F.struct(*fields))
-        votes = df.agg(*sums).select(F.inline(F.array(*cells)))
+    cells = [F.struct(F.lit(i).alias("ordinal"), col(n).alias("text")) for i, n in enumerate(names)]
+    counts = _votes(F.col("text"), lenient_int)
+    counted = (
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("ordinal")
+        .agg(*[c.alias(k) for k, c in counts.items()])
+    )
+    # A table without rows still gets a row per column.
+    labels = [F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column")) for i, n in enumerate(names)]
+    every = df.sparkSession.range(1).select(F.inline(F.array(*labels)))
+    votes = every.join(counted, "ordinal", "left").fillna(0, list(counts))
     return votes.withColumn("logical_type", _winner(sensitivity))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,22 +184,24 @@ class Catalog:
 
 
 def inventory(spark: SparkSession, tables: Sequence[Table]) -> DataFrame:
-    rows = []
-    for table in tables:
-        count = table.row_count().select(
+    if not tables:
+        shape = (
+            "path string, alias string, row_count bigint, column_count bigint, "
+            "bytes bigint, size string"
+        )
+        return spark.createDataFrame([], shape)
+    sizes = stored_bytes(spark, [table.path for table in tables if table.path])
+    rows = [
+        table.row_count().select(
             F.lit(table.path).cast("string").alias("path"),
             F.lit(table.alias).alias("alias"),
             "row_count",
             F.lit(len(table.columns)).cast("bigint").alias("column_count"),
+            F.lit(sizes.get(table.path)).cast("bigint").alias("bytes"),
         )
-        rows.append(count.withColumn("bytes", F.lit(stored_bytes(table)).cast("bigint")))
-    if not rows:
-        shape = "path string, alias string, row_count bigint, column_count bigint, bytes bigint, size string"
-        return spark.createDataFrame([], shape)
-    every = rows[0]
-    for row in rows[1:]:
-        every = every.unionAll(row)
-    return with_human_size(every)
+        for table in tables
+    ]
+    return with_human_size(reduce(DataFrame.unionAll, rows))
 
 
 def with_human_size(df: DataFrame) -> DataFrame:
@@ -213,11 +216,16 @@ def with_human_size(df: DataFrame) -> DataFrame:
     return df.withColumn("size", F.when(F.col("bytes") < 1024, small).otherwise(scaled))
 
 
-def stored_bytes(table: Table) -> int | None:
-    """Bytes of a table's files, from the file listing alone."""
-    if table.path is None:
-        return None
+def stored_bytes(spark: SparkSession, paths: Sequence[str]) -> dict[str, int]:
+    """Bytes of the files of each path, from one file listing."""
     from colonnade.sources.files import listing
 
-    found = listing(table.df.sparkSession, table.path).agg(F.sum("length").alias("n")).first()
-    return found["n"]
+    if not paths:
+        return {}
+    sums = []
+    for i, path in enumerate(paths):
+        place = path.rstrip("/").removeprefix("file://").removeprefix("file:")
+        inside = F.col("path").endswith(place) | F.col("path").contains(place + "/")
+        sums.append(F.sum(F.when(inside, F.col("length"))).alias(f"b{i}"))
+    row = listing(spark, *dict.fromkeys(paths)).agg(*sums).first()
+    return {path: row[f"b{i}"] for i, path in enumerate(paths)}
