@@ -26,8 +26,13 @@ def value_range(c: Column) -> Column:
     return F.max(c) - F.min(c)
 
 
+def standard_deviation(c: Column) -> Column:
+    """Of the sample; as the root of the variance it shares that aggregate's buffer."""
+    return F.sqrt(F.var_samp(c))
+
+
 def coefficient_of_variation(c: Column) -> Column:
-    return F.try_divide(F.stddev_samp(c), F.avg(c))
+    return F.try_divide(standard_deviation(c), F.avg(c))
 
 
 def sample_skewness(c: Column) -> Column:
@@ -97,7 +102,7 @@ NUMERIC = {
     "min": F.min,
     "max": F.max,
     "range": value_range,
-    "stddev": F.stddev_samp,
+    "stddev": standard_deviation,
     "variance": F.var_samp,
     "coef_variation": coefficient_of_variation,
     "skewness": sample_skewness,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from colonnade.operators import filters as flt
 from colonnade.operators.ordered import running_sums
+from colonnade.staging import staged
 from colonnade.types import col, require_numeric
 
 # Outer groups a chart may have, and the range of axis steps.
@@ -45,7 +46,11 @@ def _grouped(
     )
     if not percentage:
         return grouped
-    base = (df if denominator == "all" else kept).agg(F.sum(col(value)).cast("double")).scalar()
+    if kept is df or denominator == "filtered":
+        # The groups hold the whole total, so the table is scanned once.
+        base = grouped.agg(F.sum("value")).scalar()
+    else:
+        base = df.agg(F.sum(col(value)).cast("double")).scalar()
     return grouped.withColumn("value", F.try_divide(F.col("value") * 100.0, base))
 
 
@@ -97,6 +102,8 @@ def dense(frame: DataFrame) -> DataFrame:
     Adds ``first_series``: categories appear in the order
     ``(first_series, category)``, nulls last. Raises :class:`TooManyGroups`.
     """
+    # The groups are written once, since they are read for three things.
+    frame = staged(frame)
     check_outer_groups(frame)
     # Wrapped in structs because collect_set skips bare nulls. At most 20 entries.
     names = frame.agg(F.collect_set(F.struct(F.col("series").alias("name")))).scalar()

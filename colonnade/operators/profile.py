@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.functions import aggregates as agg
+from colonnade.operators.percolumn import aggregate_columns
 from colonnade.operators.quantiles import quantiles
 from colonnade.operators.statistics import distinct_counts, null_statistics
 from colonnade.types import LogicalType, col, is_nested, logical_types
@@ -85,44 +85,30 @@ def header_statistics(
     kinds = logical_types(df)
     nested = {f.name for f in df.schema if is_nested(f.dataType)}
     chosen = [c for c in (df.columns if columns is None else columns) if c not in nested]
-    cells = []
+    cells = {}
     for name in chosen:
-        c = col(name)
         if kinds[name].is_numeric:
-            number = c.cast("double")
-            cells += [(name, "min", F.min(number)), (name, "max", F.max(number)),
-                      (name, "mean", F.avg(number)), (name, "sum", F.sum(number))]
+            cells[name] = col(name).cast("double")
         elif kinds[name] is LogicalType.STRING:
-            lengths = agg.text_length(c)
-            cells += [(name, stat, value.cast("double")) for stat, value in lengths.items()]
+            cells[name] = F.length(col(name)).cast("double")
         elif kinds[name].is_date:
-            micros = F.unix_micros(c.cast("timestamp"))
-            cells += [(name, "min", F.min(micros).cast("double")),
-                      (name, "max", F.max(micros).cast("double"))]
-    row = df.agg(*[value.alias(f"v{i}") for i, (_, _, value) in enumerate(cells)])
-    tall = row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("column"),
-                        F.lit(s).alias("statistic"),
-                        F.col(f"v{i}").alias("value"),
-                    )
-                    for i, (n, s, _) in enumerate(cells)
-                ]
-            )
-        )
+            cells[name] = F.unix_micros(col(name).cast("timestamp")).cast("double")
+    dates = [name for name in cells if kinds[name].is_date]
+    texts = [name for name in cells if kinds[name] is LogicalType.STRING]
+    made = aggregate_columns(
+        df, cells, lambda x: {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "sum": F.sum(x)}
     )
-    dates = [name for name in chosen if kinds[name].is_date]
+    tall = made.unpivot("column", ["min", "max", "mean", "sum"], "statistic", "value")
+    is_date, is_text = F.col("column").isin(dates), F.col("column").isin(texts)
+    tall = tall.where(~is_date | F.col("statistic").isin("min", "max"))
     if dates:
         medians = quantiles(df, dates, [0.5], **quantile_options)
         tall = tall.unionAll(medians.select("column", F.lit("median"), "value"))
     moment = F.timestamp_micros(F.col("value").cast("bigint")).cast("timestamp_ntz")
-    is_date = F.col("column").isin(dates) if dates else F.lit(False)
+    named = F.when(is_text, F.concat("statistic", F.lit("_length"))).otherwise(F.col("statistic"))
     return tall.select(
         "column",
-        "statistic",
+        named.alias("statistic"),
         F.when(~is_date, F.col("value")).alias("value"),
         F.when(is_date, moment).alias("moment"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions import aggregates as agg
+from colonnade.operators.percolumn import aggregate_columns
 from colonnade.types import LogicalType, col, field_type, is_nested, require, require_numeric
 
 # Fixed value: longer category lists are reported by their number only.
@@ -24,15 +25,12 @@ def numeric_statistics(
     names = list(agg.NUMERIC if statistics is None else statistics)
     for name in columns:
         require_numeric(df, name)
-    cells = [(c, s, agg.NUMERIC[s](col(c)).cast("double")) for c in columns for s in names]
-    row = df.agg(*[value.alias(f"v{i}") for i, (_, _, value) in enumerate(cells)])
-    tall = [
-        F.struct(
-            F.lit(c).alias("column"), F.lit(s).alias("statistic"), F.col(f"v{i}").alias("value")
-        )
-        for i, (c, s, _) in enumerate(cells)
-    ]
-    return row.select(F.inline(F.array(*tall)))
+    cells = {name: col(name).cast("double") for name in columns}
+    made = aggregate_columns(
+        df, cells, lambda x: {name: agg.NUMERIC[name](x).cast("double") for name in names}
+    )
+    counts = [name for name in names if name in ("count", "null_count")]
+    return made.fillna(0.0, counts).unpivot("column", names, "statistic", "value")
 
 
 def mean_absolute_deviation(df: DataFrame, column: str) -> DataFrame:

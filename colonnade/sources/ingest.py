@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.functions import casts
+from colonnade.operators.percolumn import aggregate_columns
 from colonnade.sources.sink import write_table
 from colonnade.sources.text import read_lenient, read_text_table
 from colonnade.table import Table
@@ -52,22 +53,13 @@ def vote(
     """One row per text column: how many values fit each type, and the type chosen.
 
     The first of boolean, integer, double, date that fits at least ``sensitivity``
-    of the present values wins; a column with none stays text. One scan: cells turn
-    into (column, text) rows that are counted before they leave their task, so the
-    plan stays the same size however wide the table is.
+    of the present values wins; a column with none stays text. One scan.
     """
     names = list(df.columns if columns is None else columns)
-    cells = [F.struct(F.lit(i).alias("ordinal"), col(n).alias("text")) for i, n in enumerate(names)]
-    counts = _votes(F.col("text"), lenient_int)
-    counted = (
-        df.select(F.inline(F.array(*cells)))
-        .groupBy("ordinal")
-        .agg(*[c.alias(k) for k, c in counts.items()])
+    counts = aggregate_columns(
+        df, {name: col(name) for name in names}, lambda text: _votes(text, lenient_int)
     )
-    # A table without rows still gets a row per column.
-    labels = [F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column")) for i, n in enumerate(names)]
-    every = df.sparkSession.range(1).select(F.inline(F.array(*labels)))
-    votes = every.join(counted, "ordinal", "left").fillna(0, list(counts))
+    votes = counts.fillna(0)
     return votes.withColumn("logical_type", _winner(sensitivity))
 
 
