@@ -44,17 +44,17 @@ def to_boolean(text: Column) -> Column:
     )
 
 
-def _date_shape(layout: str) -> str:
-    return r"^\s*" + "".join(_DATE_PARTS.get(c, c) for c in layout) + r"\s*$"
+def _parsed(text: Column, layout: str) -> Column:
+    shape = r"^\s*" + "".join(_DATE_PARTS.get(c, c) for c in layout) + r"\s*$"
+    return F.when(text.rlike(shape), F.try_to_date(F.trim(text), layout))
 
 
 def to_date(text: Column) -> Column:
     """Date by the first layout that fits: day first, year first, month first."""
-    tries = [
-        F.when(text.rlike(_date_shape(layout)), F.try_to_date(F.trim(text), layout))
-        for layout in DATE_LAYOUTS
-    ]
-    return F.coalesce(*tries)
+    day_first, year_first, month_first = (_parsed(text, layout) for layout in DATE_LAYOUTS)
+    # No text fits both a slash and a dash layout; looking for the sign is cheap.
+    slashed = F.coalesce(day_first, month_first)
+    return F.when(text.contains("/"), slashed).when(text.contains("-"), year_first)
 
 
 def to_timestamp(text: Column) -> Column:

@@ -11,7 +11,6 @@ import pandas as pd
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from colonnade.sources.files import listing
 
@@ -51,10 +50,14 @@ def _list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """``(archive, entry, size, unsafe)`` of the files inside zip archives."""
     archives = listing(spark, path).select("path")
-    return archives.mapInPandas(
+    return archives.repartition(_parts(spark), "path").mapInPandas(
         _list_entries, "archive string, entry string, size bigint, unsafe boolean"
     )
 
@@ -93,8 +96,7 @@ def unpack(spark: SparkSession, path: str, target: str) -> list[str]:
                 written.append(posixpath.join(target.rstrip("/"), name))
             yield pd.DataFrame({"path": written})
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # Spread by entry, so a bundle that holds most of the data is shared out too.
-    spread = found.repartition(parts, F.xxhash64("archive", "entry"))
+    spread = found.repartition(_parts(spark), "archive", "entry")
     done = spread.select("archive", "entry").mapInPandas(write, "path string")
     return sorted(row["path"] for row in done.collect())

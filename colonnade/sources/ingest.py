@@ -115,6 +115,7 @@ def ingest(
     except (PySparkException, Py4JJavaError) as error:
         if "MALFORMED" not in str(error):
             raise
-        frame = read_lenient(spark, path, sep)
+        lenient = read_lenient(spark, path, sep, multiline)
+        frame = typed(lenient, sensitivity, lenient_int)
     write_table(frame, out)
     return Table.open(spark, out, alias or base_name(path))

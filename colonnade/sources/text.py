@@ -60,21 +60,16 @@ def read_text_table(
         .option("escape", '"')
         .option("multiLine", multiline)
         .option("mode", mode)
+        # A line is malformed or not whichever columns a query reads.
+        .option("columnPruning", False)
         .csv(path)
     )
     check_distinct_names(df.columns)
     return blank_to_null(df)
 
 
-def read_lenient(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Read what can be read: malformed lines are dropped, types are Spark's guess."""
-    read = (
-        spark.read.option("header", True)
-        .option("sep", sep or delimiter_for(spark, path))
-        .option("escape", '"')
-        .option("mode", "DROPMALFORMED")
-        .option("inferSchema", True)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-    )
-    return read.csv(path)
+def read_lenient(
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool = False
+) -> DataFrame:
+    """As :func:`read_text_table`, but malformed lines are dropped, not refused."""
+    return read_text_table(spark, path, sep, multiline, mode="DROPMALFORMED")

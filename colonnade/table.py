@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import posixpath
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from colonnade.operators import edit, paging, profile
 from colonnade.operators import filters as flt
+from colonnade.operators import merge as merging
+from colonnade.operators.subtable import subtable as grouped
 from colonnade.sources.sink import new_path, write_table
 from colonnade.types import LogicalType, check_distinct_names, logical_types, quoted
 
@@ -149,10 +152,58 @@ class Table:
         )
         return self.rewritten(edited).mark_empty(name)
 
+    # --- new tables from tables ---
+
+    def merge(
+        self,
+        other: Table,
+        how: str,
+        pairs: merging.Pairs | None = None,
+        name: str | None = None,
+        folder: str | None = None,
+    ) -> Table:
+        """Join with (or for ``how="union"`` append) another table, stored as a new one.
+
+        Without ``pairs`` the columns of equal names are joined, whatever their case.
+        """
+        folder = folder or _folder_of(other)
+        if how == "union":
+            made = merging.union(self.df, other.df)
+        else:
+            keys = merging.auto_keys(self.columns, other.columns) if pairs is None else pairs
+            made = merging.join(self.df, other.df, how, keys)
+        return _stored(made, folder, name or merging.result_name(self.alias, other.alias))
+
+    def subtable(
+        self,
+        by: int | str,
+        aggregates: dict[str, str],
+        name: str,
+        use_filters: bool = False,
+        folder: str | None = None,
+    ) -> Table:
+        """Group by one column, stored as a new table; the filters apply if asked."""
+        folder = folder or _folder_of(self)
+        filters = self.filters if use_filters else ()
+        made = grouped(self.df, self.column(by), aggregates, filters, self.kinds)
+        return _stored(made, folder, name)
+
     def renamed(self, alias: str) -> Table:
         return replace(self, alias=alias)
 
 
+def _folder_of(table: Table) -> str:
+    if table.path is None:
+        raise ValueError(f"table {table.alias!r} is not stored; name a folder for the result")
+    return posixpath.dirname(table.path.rstrip("/"))
+
+
+def _stored(df: DataFrame, folder: str, name: str) -> Table:
+    path = posixpath.join(folder, f"{name}.parquet")
+    write_table(df, path)
+    return Table.open(df.sparkSession, path, name)
+
+
 class Catalog:
     """The tables that are open, by alias, each also a temporary view."""
 

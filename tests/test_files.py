@@ -65,6 +65,21 @@ def test_edits_write_a_new_file(spark, stored):
         sink.write_table(cell.df, cell.path)
 
 
+def test_merged_and_grouped_tables_are_stored(spark, stored, tmp_path):
+    other = Table(spark.createDataFrame([(1, "x"), (9, "y")], "ID int, note string"), "notes")
+    joined = stored.merge(other, "left", folder=str(tmp_path))
+    assert joined.alias == "main_notes" and joined.df.count() == 5
+    assert joined.columns == [*stored.columns, "note"]
+    assert joined.kind("empty_col") is LogicalType.EMPTY
+    assert stored.merge(stored, "union", name="twice").df.count() == 10
+    with pytest.raises(ValueError):
+        stored.merge(other, "inner")
+    by_flag = stored.add_filters(flt.above("val", 10)).subtable("flag", {"val": "sum"}, "by_flag", use_filters=True)
+    assert {tuple(r) for r in by_flag.df.collect()} == {(True, 10.5), (False, 50.0)}
+    with pytest.raises(ValueError):
+        stored.subtable("flag", {"empty_col": "max"}, "bad")
+
+
 def test_version_paths_do_not_grow(stored):
     once = sink.new_path(stored.path)
     twice = sink.new_path(once)

@@ -113,6 +113,8 @@ def test_malformed_lines_fall_back_to_the_lenient_reader(spark, tmp_path):
     table = ingest.ingest(spark, path, str(tmp_path / "bad.parquet"))
     assert sorted(values(table.df, "a")) == [1, 4]
     assert table.kind("a") is LogicalType.INTEGER
+    lenient = text.read_lenient(spark, path)
+    assert lenient.count() == lenient.select("a").count() == 2
 
 
 def test_generated_tables(spark, tmp_path):

@@ -111,3 +111,33 @@ def test_union_by_position(spark):
     wide = merge.union(left, spark.createDataFrame([(2**40, "z")], "q bigint, r string"))
     assert values(wide) == [1, 2**40]
     assert merge.union(left, left).count() == 2
+
+
+def test_hot_key_of_the_unsplittable_side_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        left = spark.range(2000).selectExpr("id as k", "id * 2 as w").repartition(4)
+        right = spark.range(200_000).selectExpr(
+            "case when id % 3 = 0 then 7 else id % 2003 end as k", "hash(id) as v"
+        ).repartition(4)
+
+        def final_plan(hot_rows):
+            df = merge.join(left, right, "left", [("k", "k")], hot_rows).selectExpr("sum(w)", "sum(v)")
+            total = tuple(df.first())
+            plan = df._jdf.queryExecution().executedPlan()
+            return total, plan.toString().split("Initial Plan")[0]
+
+        plain, plain_plan = final_plan(None)
+        split, split_plan = final_plan(10_000)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert plain == split
+    assert "skew=true" not in plain_plan
+    assert "skew=true" in split_plan
