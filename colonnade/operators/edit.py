@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import casts
 from colonnade.operators import filters as flt
-from colonnade.operators.ordered import Order
+from colonnade.operators.ordered import PLACE, Order, with_place
 from colonnade.operators.paging import rows
 from colonnade.types import LogicalType, check_distinct_names, classify, col, field_type
 
@@ -107,13 +107,8 @@ def update_cell(
     """
     spark_type = field_type(df, column)
     new = edited_value(value, classify(spark_type)).cast(spark_type)
-    if key:
-        keyed, names = df, list(key)
-    else:
-        keyed = df.withColumn("__file", F.col("_metadata.file_path")).withColumn(
-            "__index", F.col("_metadata.row_index")
-        )
-        names = ["__file", "__index"]
+    keyed = df if key else with_place(df)
+    names = list(key) or [name for name, _ in PLACE]
     total = [*order, *[(name, True) for name in names]]
     view = flt.apply(keyed, filters).select(
         *[col(name) for name in dict.fromkeys([n for n, _ in total])]

@@ -145,22 +145,60 @@ def running_sums(
     )
 
 
+# Rows of one file that are counted together.
+_CHUNK = 1_000_000
+_FILE, _INDEX = "__file", "__index"
+PLACE = [(_FILE, True), (_INDEX, True)]
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """Add each row's place, ``PLACE``: its Parquet file and its position in it."""
+    return df.withColumns({_FILE: F.col("_metadata.file_path"), _INDEX: F.col("_metadata.row_index")})
+
+
 def file_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
     """Add the 1-based position of each row in file order, without a sort.
 
-    Needs a frame that scans Parquet files. Files follow each other by path.
+    Needs a frame that scans whole Parquet files. Files follow each other by path.
     """
-    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    sizes = df.groupBy(path.alias("__file")).agg((F.max(index) + 1).alias("n"))
+    placed = with_place(df)
+    sizes = placed.groupBy(_FILE).agg((F.max(_INDEX) + 1).alias("n"))
     # One row per file.
-    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before")
-    )
+    before = Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(_FILE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     return (
-        df.withColumn("__path", path)
-        .withColumn("__index", index)
-        .join(offsets, F.col("__path") == F.col("__file"))
-        .withColumn(name, F.col("__before") + F.col("__index") + 1)
-        .drop("__path", "__index", "__file", "__before")
+        placed.join(offsets, _FILE)
+        .withColumn(name, F.col("__before") + F.col(_INDEX) + 1)
+        .select(*[col(c) for c in df.columns], name)
     )
+
+
+def file_slice(df: DataFrame, start: int, count: int) -> DataFrame:
+    """Rows ``start .. start + count`` (0-based) in file order, of a filtered scan.
+
+    One pass counts the rows of each stretch of a file, then only the files and
+    stretches that hold the slice are read. Nothing is sorted but those.
+    """
+    placed = with_place(df)
+    chunk = F.floor(F.col(_INDEX) / F.lit(_CHUNK)).alias("__chunk")
+    sizes = placed.groupBy(_FILE, chunk).agg(F.count(F.lit(1)).alias("__size"))
+    # One row per million rows of the table, less where rows are filtered out.
+    before = Window.orderBy(_FILE, "__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    # Stretches are not empty, so at most ``count`` of them overlap the slice.
+    touched = offsets.where(
+        (F.col("__before") < start + count) & (F.col("__before") + F.col("__size") > start)
+    ).collect()
+    if not touched:
+        return df.where(F.lit(False))
+    first = min(r["__before"] for r in touched)
+    spans = [
+        (F.col("_metadata.file_path") == r[_FILE])
+        & (F.col("_metadata.row_index") >= r["__chunk"] * _CHUNK)
+        & (F.col("_metadata.row_index") < (r["__chunk"] + 1) * _CHUNK)
+        for r in touched
+    ]
+    files = F.col("_metadata.file_path").isin(sorted({r[_FILE] for r in touched}))
+    near = with_place(df.where(files & reduce(lambda a, b: a | b, spans)))
+    ordered = near.orderBy(*sort_columns(PLACE)).offset(start - first).limit(count)
+    return ordered.select(*[col(c) for c in df.columns])

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.operators.ordered import Order, number_rows, row_slice, sort_columns
+from colonnade.operators.ordered import (
+    PLACE,
+    Order,
+    file_slice,
+    number_rows,
+    row_slice,
+    sort_columns,
+    with_place,
+)
 from colonnade.types import col
 
 PAGE_SIZES = (500, 1000, 5000, 10000)
@@ -43,6 +51,19 @@ def page(df: DataFrame, order: Order, index: int, size: int = DEFAULT_PAGE_SIZE)
     return rows(df, order, size, index * size)
 
 
+def file_page(df: DataFrame, index: int, size: int = DEFAULT_PAGE_SIZE, order: Order = ()) -> DataFrame:
+    """Page of a (filtered) Parquet scan without a key: rows in file order.
+
+    With ``order`` the place in the file settles the order of equal rows.
+    """
+    if size <= 0 or index < 0:
+        raise ValueError("page size must be positive and the index not negative")
+    if not order:
+        return file_slice(df, index * size, size)
+    placed = rows(with_place(df), [*order, *PLACE], size, index * size)
+    return placed.select(*[col(name) for name in df.columns])
+
+
 def page_count(df: DataFrame, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     counted = df.agg(F.count(F.lit(1)).alias("row_count"))
     return counted.select(

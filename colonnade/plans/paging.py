@@ -69,6 +69,16 @@ def _(t):
     return ordered.row_slice(narrow, _BY_PRICE, 5000, 5000)
 
 
+@query(
+    "page_rows_file_order",
+    "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT row_number() OVER () AS n, * FROM lineitem) "
+    "WHERE l_returnflag = 'R' ORDER BY n LIMIT 1000 OFFSET 1000",
+)
+def _(t):
+    view = flt.apply(t.lineitem, [flt.equal("l_returnflag", "R")])
+    return paging.file_page(view, 1, 1000).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 @query(
     "page_count",
     "SELECT count(*) AS row_count, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS page_count "

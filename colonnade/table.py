@@ -118,12 +118,18 @@ class Table:
         """The rows that pass the filters, unordered."""
         return flt.apply(self.df, self.filters)
 
-    def order(self, key: Sequence[str]) -> list[tuple[str, bool]]:
-        return [*flt.ordering(self.filters), *[(name, True) for name in key]]
+    def page(
+        self, index: int, size: int = paging.DEFAULT_PAGE_SIZE, key: Sequence[str] = ()
+    ) -> DataFrame:
+        """A page of the view, by the sort of the filters.
 
-    def page(self, index: int, key: Sequence[str], size: int = paging.DEFAULT_PAGE_SIZE) -> DataFrame:
-        """A page of the view; ``key`` columns settle the order of equal rows."""
-        return paging.page(self.view(), self.order(key), index, size)
+        ``key`` columns settle the order of equal rows; without them their place in
+        the file does.
+        """
+        order = flt.ordering(self.filters)
+        if not key:
+            return paging.file_page(self.view(), index, size, order)
+        return paging.page(self.view(), [*order, *[(name, True) for name in key]], index, size)
 
     def row_count(self) -> DataFrame:
         return flt.filtered_count(self.df, self.filters)

@@ -41,7 +41,9 @@ def test_open_marks_empty_columns(stored):
 def test_filters_live_on_the_handle(stored):
     table = stored.add_filters(flt.hide_empty("val"), flt.sort_by("val", False))
     assert values(table.row_count()) == [4]
-    assert values(table.page(0, ["id"], 2), "id") == [5, 2]
+    assert values(table.page(0, 2, ["id"]), "id") == [5, 2]
+    assert values(table.page(1, 2), "id") == [1, 4]
+    assert values(stored.page(1, 3), "id") == [4, 5]
     assert values(stored.row_count()) == [5]
     assert table.clear_filters("val").filters == ()
     again = stored.with_filters_json(table.filters_json())

@@ -129,7 +129,7 @@ def test_hot_key_of_the_unsplittable_side_is_split(spark):
 
         def final_plan(hot_rows):
             df = merge.join(left, right, "left", [("k", "k")], hot_rows).selectExpr("sum(w)", "sum(v)")
-            total = tuple(df.first())
+            (total,) = df.collect()
             plan = df._jdf.queryExecution().executedPlan()
             return total, plan.toString().split("Initial Plan")[0]
 

@@ -89,3 +89,19 @@ def test_file_order_numbers_follow_the_files(spark, tmp_path):
     assert values(got, "row_number") == list(range(1, 1001))
     place = df.select("id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index")
     assert values(got, "id") == values(place, "id")
+
+
+@pytest.mark.parametrize("chunk", [7, 100, 1_000_000])
+def test_file_pages_of_filtered_scans(spark, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(ordered, "_CHUNK", chunk)
+    path = str(tmp_path / "t.parquet")
+    spark.range(1000).repartition(4, "id").write.parquet(path)
+    df = spark.read.parquet(path)
+    in_order = values(df.select("id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index"))
+    kept = [i for i in in_order if i % 3 == 0 and i > 200]
+    view = df.where("id % 3 = 0 and id > 200")
+    for index in (0, 3, 5, 9):
+        assert values(paging.file_page(view, index, 50)) == kept[index * 50 : index * 50 + 50]
+    assert values(paging.file_page(df, 19, 50)) == in_order[950:]
+    by_digit = paging.file_page(df.selectExpr("id", "id % 10 as d"), 1, 100, [("d", True)])
+    assert values(by_digit) == [i for i in in_order if i % 10 == 1]
