@@ -15,6 +15,7 @@ from colonnade.operators import edit, paging, profile
 from colonnade.operators import filters as flt
 from colonnade.operators import merge as merging
 from colonnade.operators.subtable import subtable as grouped
+from colonnade.sources.files import base_name, listing, read_parquet
 from colonnade.sources.sink import new_path, write_table
 from colonnade.types import LogicalType, check_distinct_names, logical_types, quoted
 
@@ -44,8 +45,6 @@ class Table:
     @classmethod
     def open(cls, spark: SparkSession, path: str, alias: str | None = None) -> Table:
         """Open a Parquet table and mark its text columns that hold no value."""
-        from colonnade.sources.files import base_name, read_parquet
-
         table = cls(read_parquet(spark, path), alias or base_name(path), path)
         return table.mark_empty()
 
@@ -108,11 +107,18 @@ class Table:
             return replace(self, filters=())
         return replace(self, filters=tuple(flt.clear_column(self.filters, self.column(column))))
 
-    def filters_json(self) -> str:
-        return flt.to_json(self.filters)
+    def save_filters(self) -> str:
+        """Keep the filters beside the table, one set per alias."""
+        path = posixpath.join(_folder_of(self), f"filters_{self.alias}")
+        text = self.df.sparkSession.range(1).select(F.lit(flt.to_json(self.filters)))
+        text.coalesce(1).write.mode("overwrite").text(path)
+        return path
 
-    def with_filters_json(self, text: str) -> Table:
-        return replace(self, filters=tuple(flt.from_json(text)))
+    def load_filters(self) -> Table:
+        """The table with the filters last saved for its alias."""
+        path = posixpath.join(_folder_of(self), f"filters_{self.alias}")
+        (line,) = self.df.sparkSession.read.text(path).collect()
+        return replace(self, filters=tuple(flt.from_json(line["value"])))
 
     def view(self) -> DataFrame:
         """The rows that pass the filters, unordered."""
@@ -275,8 +281,6 @@ def with_human_size(df: DataFrame) -> DataFrame:
 
 def stored_bytes(spark: SparkSession, paths: Sequence[str]) -> dict[str, int]:
     """Bytes of the files of each path, from one file listing."""
-    from colonnade.sources.files import listing
-
     if not paths:
         return {}
     sums = []
