@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.functions.times import from_micros, to_micros
 from colonnade.operators.percolumn import aggregate_columns
 from colonnade.operators.quantiles import quantiles
 from colonnade.operators.statistics import distinct_counts, null_statistics
@@ -92,7 +93,7 @@ def header_statistics(
         elif kinds[name] is LogicalType.STRING:
             cells[name] = F.length(col(name)).cast("double")
         elif kinds[name].is_date:
-            cells[name] = F.unix_micros(col(name).cast("timestamp")).cast("double")
+            cells[name] = to_micros(col(name)).cast("double")
     dates = [name for name in cells if kinds[name].is_date]
     texts = [name for name in cells if kinds[name] is LogicalType.STRING]
     made = aggregate_columns(
@@ -104,11 +105,10 @@ def header_statistics(
     if dates:
         medians = quantiles(df, dates, [0.5], **quantile_options)
         tall = tall.unionAll(medians.select("column", F.lit("median"), "value"))
-    moment = F.timestamp_micros(F.col("value").cast("bigint")).cast("timestamp_ntz")
     named = F.when(is_text, F.concat("statistic", F.lit("_length"))).otherwise(F.col("statistic"))
     return tall.select(
         "column",
         named.alias("statistic"),
         F.when(~is_date, F.col("value")).alias("value"),
-        F.when(is_date, moment).alias("moment"),
+        F.when(is_date, from_micros(F.col("value"))).alias("moment"),
     )

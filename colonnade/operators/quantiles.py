@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colonnade.functions.times import from_micros, to_micros
 from colonnade.types import classify, col, field_type
 
 # At most this many values of a column are gathered in one task.
@@ -131,7 +132,7 @@ def _measurable(df: DataFrame, name: str) -> Column:
     if classify(spark_type).is_numeric:
         return col(name)
     if classify(spark_type).is_date:
-        return F.unix_micros(col(name).cast("timestamp"))
+        return to_micros(col(name))
     raise ValueError(f"column {name!r} is {spark_type.simpleString()}, it has no quantiles")
 
 
@@ -144,7 +145,7 @@ def quantiles(
 ) -> DataFrame:
     """``(column, p, value)`` with linear interpolation between neighbours.
 
-    Times come back as microseconds since the epoch. ``accuracy`` asks for
+    Times come back as microseconds since 1970. ``accuracy`` asks for
     approximate values at rank error ``1/accuracy`` in a single pass instead.
     """
     for p in probabilities:
@@ -235,7 +236,5 @@ def intercentile_ratio(df: DataFrame, columns: Sequence[str], **options) -> Data
 
 def date_median(df: DataFrame, column: str, **options) -> DataFrame:
     """The median time, interpolated, as a timestamp without zone."""
-    micros = F.col("median").cast("bigint")
-    return median(df, [column], **options).select(
-        "column", F.timestamp_micros(micros).cast("timestamp_ntz").alias("median")
-    )
+    found = median(df, [column], **options)
+    return found.select("column", from_micros(F.col("median")).alias("median"))

@@ -204,3 +204,20 @@ def test_quantiles_of_several_columns(spark):
 
 def test_intercentile_ratio_of_zero_median(spark):
     assert quantiles.intercentile_ratio(numbers(spark, [-1.0, 0.0, 1.0]), ["x"]).first().ratio is None
+
+
+def test_times_survive_zone_changes_and_fractions(spark):
+    from colonnade.functions.times import from_micros, to_micros
+
+    texts = ["2018-11-04 00:00:00", "1969-12-31 23:59:59.999999", "2024-03-10 02:30:00.000001", "0001-01-01 00:00:00"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+        back = df.select("t", to_micros(F.col("t")).alias("n"), from_micros(to_micros(F.col("t"))).alias("back"))
+        rows = back.collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    epoch = datetime.datetime(1970, 1, 1)
+    assert all(r.t == r.back for r in rows)
+    assert [r.n for r in rows] == [(r.t - epoch) // datetime.timedelta(microseconds=1) for r in rows]
