@@ -9,10 +9,9 @@ sort key is still split because each row's own position or content breaks ties.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,25 +82,34 @@ def number_rows(df: DataFrame, order: Order, name: str = "row_number") -> DataFr
     )
 
 
+def _ends(offsets: DataFrame, keys: list[str], start: int, stop: int):
+    """First and last stretch that hold rows ``start .. stop``, as one row.
+
+    ``offsets`` has ``__before`` and ``__size`` per non-empty stretch, which follow
+    each other by ``keys``; both ends are null past the last row.
+    """
+    inside = (F.col("__before") < stop) & (F.col("__before") + F.col("__size") > start)
+    stretch = F.struct(*keys, "__before")
+    return offsets.where(inside).agg(F.min(stretch).alias("a"), F.max(stretch).alias("z")).first()
+
+
+def _between(major: Column, minor: Column, low: tuple, high: tuple) -> Column:
+    """``low <= (major, minor) < high``, with the bounds on ``major`` open to pushdown."""
+    after = (major > F.lit(low[0])) | (minor >= F.lit(low[1]))
+    until = (major < F.lit(high[0])) | (minor < F.lit(high[1]))
+    return (major >= F.lit(low[0])) & (major <= F.lit(high[0])) & after & until
+
+
 def row_slice(df: DataFrame, order: Order, start: int, count: int) -> DataFrame:
     """Rows ``start .. start + count`` (0-based) of the order, at any depth."""
     placed = _placed(df, sort_columns(order))
-    offsets = _partition_offsets(placed)
     stop = start + count
-    # Non-empty partitions that overlap the slice: at most ``count`` of them.
-    touched = offsets.where(
-        (F.col("__before") < stop) & (F.col("__before") + F.col("__size") > start)
-    ).collect()
-    rows = placed.where(F.lit(False))
-    if touched:
-        spans = [
-            (F.col(_PART) == r[_PART])
-            & F.col(_AT).between(start - r["__before"], stop - 1 - r["__before"])
-            for r in touched
-        ]
-        parts = F.col(_PART).isin([r[_PART] for r in touched])
-        rows = placed.where(parts & reduce(lambda a, b: a | b, spans))
-    return rows.drop(_PART, _AT)
+    ends = _ends(_partition_offsets(placed), [_PART], start, stop)
+    if ends.a is None:
+        return placed.where(F.lit(False)).drop(_PART, _AT)
+    low = (ends.a[_PART], start - ends.a["__before"])
+    high = (ends.z[_PART], stop - ends.z["__before"])
+    return placed.where(_between(F.col(_PART), F.col(_AT), low, high)).drop(_PART, _AT)
 
 
 def running_sums(
@@ -185,20 +193,12 @@ def file_slice(df: DataFrame, start: int, count: int) -> DataFrame:
     # One row per million rows of the table, less where rows are filtered out.
     before = Window.orderBy(_FILE, "__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-    # Stretches are not empty, so at most ``count`` of them overlap the slice.
-    touched = offsets.where(
-        (F.col("__before") < start + count) & (F.col("__before") + F.col("__size") > start)
-    ).collect()
-    if not touched:
+    ends = _ends(offsets, [_FILE, "__chunk"], start, start + count)
+    if ends.a is None:
         return df.where(F.lit(False))
-    first = min(r["__before"] for r in touched)
-    spans = [
-        (F.col("_metadata.file_path") == r[_FILE])
-        & (F.col("_metadata.row_index") >= r["__chunk"] * _CHUNK)
-        & (F.col("_metadata.row_index") < (r["__chunk"] + 1) * _CHUNK)
-        for r in touched
-    ]
-    files = F.col("_metadata.file_path").isin(sorted({r[_FILE] for r in touched}))
-    near = with_place(df.where(files & reduce(lambda a, b: a | b, spans)))
-    ordered = near.orderBy(*sort_columns(PLACE)).offset(start - first).limit(count)
+    low = (ends.a[_FILE], ends.a["__chunk"] * _CHUNK)
+    high = (ends.z[_FILE], (ends.z["__chunk"] + 1) * _CHUNK)
+    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    near = with_place(df.where(_between(path, index, low, high)))
+    ordered = near.orderBy(*sort_columns(PLACE)).offset(start - ends.a["__before"]).limit(count)
     return ordered.select(*[col(c) for c in df.columns])

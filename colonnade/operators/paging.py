@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.operators.ordered import (
@@ -51,6 +51,19 @@ def page(df: DataFrame, order: Order, index: int, size: int = DEFAULT_PAGE_SIZE)
     return rows(df, order, size, index * size)
 
 
+def numbered_page(
+    df: DataFrame,
+    order: Order,
+    index: int,
+    size: int = DEFAULT_PAGE_SIZE,
+    name: str = "row_number",
+) -> DataFrame:
+    """A page with the 1-based position of each row in the whole order."""
+    # The window has no key, but it only sees the rows of one page.
+    place = F.row_number().over(Window.orderBy(*sort_columns(order)))
+    return page(df, order, index, size).withColumn(name, F.lit(index * size).cast("bigint") + place)
+
+
 def file_page(df: DataFrame, index: int, size: int = DEFAULT_PAGE_SIZE, order: Order = ()) -> DataFrame:
     """Page of a (filtered) Parquet scan without a key: rows in file order.
 

@@ -58,6 +58,16 @@ def _(t):
     return paging.page(t.orders, _BY_PRICE, 3, 1000)
 
 
+@query(
+    "page_row_numbers",
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row_number "
+    "FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 500 OFFSET 1000",
+)
+def _(t):
+    made = paging.numbered_page(t.orders, _BY_PRICE, 2, 500)
+    return made.select("o_orderkey", "row_number")
+
+
 @query(
     "page_rows_deep",
     "SELECT o_orderkey, o_totalprice FROM orders "
