@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import casts
 from colonnade.operators import filters as flt
-from colonnade.operators.ordered import PLACE, Order, with_place
-from colonnade.operators.paging import rows
+from colonnade.operators.ordered import PLACE, Order, file_slice, with_place
+from colonnade.operators.paging import TOP_ROWS, rows
 from colonnade.types import LogicalType, check_distinct_names, classify, col, field_type
 
 NULL_MARK = "(null)"
@@ -110,11 +110,13 @@ def update_cell(
     keyed = df if key else with_place(df)
     names = list(key) or [name for name, _ in PLACE]
     total = [*order, *[(name, True) for name in names]]
-    view = flt.apply(keyed, filters).select(
-        *[col(name) for name in dict.fromkeys([n for n, _ in total])]
-    )
+    if row >= TOP_ROWS and not key and not order:
+        found = file_slice(flt.apply(df, filters), row, 1)
+    else:
+        seen = [col(name) for name in dict.fromkeys(name for name, _ in total)]
+        found = rows(flt.apply(keyed, filters).select(*seen), total, 1, row)
     # A single row, so it is safe to broadcast whatever the size of the table.
-    target = rows(view, total, 1, row).limit(1).select(
+    target = found.limit(1).select(
         *[col(name).alias(f"__t{i}") for i, name in enumerate(names)], F.lit(True).alias("__hit")
     )
     match = F.lit(True)

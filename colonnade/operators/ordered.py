@@ -184,7 +184,7 @@ def file_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
 def file_slice(df: DataFrame, start: int, count: int) -> DataFrame:
     """Rows ``start .. start + count`` (0-based) in file order, of a filtered scan.
 
-    One pass counts the rows of each stretch of a file, then only the files and
+    The rows come with their place (see :func:`with_place`). One pass counts the rows of each stretch of a file, then only the files and
     stretches that hold the slice are read. Nothing is sorted but those.
     """
     placed = with_place(df)
@@ -195,10 +195,9 @@ def file_slice(df: DataFrame, start: int, count: int) -> DataFrame:
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
     ends = _ends(offsets, [_FILE, "__chunk"], start, start + count)
     if ends.a is None:
-        return df.where(F.lit(False))
+        return placed.where(F.lit(False))
     low = (ends.a[_FILE], ends.a["__chunk"] * _CHUNK)
     high = (ends.z[_FILE], (ends.z["__chunk"] + 1) * _CHUNK)
     path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     near = with_place(df.where(_between(path, index, low, high)))
-    ordered = near.orderBy(*sort_columns(PLACE)).offset(start - ends.a["__before"]).limit(count)
-    return ordered.select(*[col(c) for c in df.columns])
+    return near.orderBy(*sort_columns(PLACE)).offset(start - ends.a["__before"]).limit(count)

@@ -71,9 +71,10 @@ def file_page(df: DataFrame, index: int, size: int = DEFAULT_PAGE_SIZE, order: O
     """
     if size <= 0 or index < 0:
         raise ValueError("page size must be positive and the index not negative")
-    if not order:
-        return file_slice(df, index * size, size)
-    placed = rows(with_place(df), [*order, *PLACE], size, index * size)
+    if order:
+        placed = rows(with_place(df), [*order, *PLACE], size, index * size)
+    else:
+        placed = file_slice(df, index * size, size)
     return placed.select(*[col(name) for name in df.columns])
 
 

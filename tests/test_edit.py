@@ -100,3 +100,14 @@ def test_update_by_place_changes_one_of_equal_rows(spark, tmp_path):
     spark.range(6).select(F.lit("x").alias("t"), F.lit(1).alias("n")).coalesce(1).write.parquet(path)
     edited = edit.update_cell(spark.read.parquet(path), 3, "n", "7")
     assert values(edited, "n") == [1, 1, 1, 7, 1, 1]
+
+
+def test_deep_rows_are_found_by_place(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "many.parquet")
+    spark.range(500).repartition(3, "id").write.parquet(path)
+    df = spark.read.parquet(path)
+    shallow = edit.update_cell(df, 120, "id", "-1", filters=[flt.above("id", 99)])
+    monkeypatch.setattr(edit, "TOP_ROWS", 10)
+    deep = edit.update_cell(df, 120, "id", "-1", filters=[flt.above("id", 99)])
+    assert sorted(values(shallow)) == sorted(values(deep))
+    assert values(deep).count(-1) == 1
