@@ -15,6 +15,7 @@ from colonnade.operators.paging import TOP_ROWS, rows
 from colonnade.types import LogicalType, check_distinct_names, classify, col, field_type
 
 NULL_MARK = "(null)"
+_HEAD_ROWS = 100
 
 
 def select(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -50,9 +51,17 @@ def empty_columns(df: DataFrame) -> DataFrame:
 
 
 def find_empty(df: DataFrame) -> list[str]:
-    """Names of text columns without any value. Reads one row per text column."""
-    found = empty_columns(df).where(F.col("non_null") == 0).collect()
-    return [row["column"] for row in found]
+    """Names of text columns without any value.
+
+    Most columns show a value in the first rows. Each of the others is searched until
+    one is found; Parquet skips row groups that hold none.
+    """
+    text = [f.name for f in df.schema if classify(f.dataType) is LogicalType.STRING]
+    if not text:
+        return []
+    head = df.select(*[col(name).isNotNull() for name in text]).take(_HEAD_ROWS)
+    unseen = [name for i, name in enumerate(text) if not any(row[i] for row in head)]
+    return [name for name in unseen if not df.where(col(name).isNotNull()).select(F.lit(1)).take(1)]
 
 
 def drop_empty(df: DataFrame) -> DataFrame:

@@ -55,5 +55,5 @@ def subtable(
             raise ValueError(f"{how!r} is not offered for {kind.value} column {name!r}")
         if how != "none":
             chosen.append(_aggregate(how, col(name), approx).alias(f"{name}_{how}"))
-    grouped = flt.apply(df, filters).groupBy(col(by))
-    return grouped.agg(*chosen) if chosen else flt.apply(df, filters).select(col(by)).distinct()
+    kept = flt.apply(df, filters)
+    return kept.groupBy(col(by)).agg(*chosen) if chosen else kept.select(col(by)).distinct()

@@ -343,17 +343,26 @@ _NATIVE = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'in
 _LOGICAL = "CASE column_type WHEN 'VARCHAR' THEN 'STRING' WHEN 'DOUBLE' THEN 'DOUBLE' WHEN 'TIMESTAMP' THEN 'DATE' ELSE 'INTEGER' END"
 
 
+_LINEITEM = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
+    "l_returnflag l_linestatus l_shipdate"
+).split()
+
+
 @query(
     "describe_table",
-    f"SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS ordinal, column_name AS \"column\", "
+    f"SELECT CAST(d.ordinal AS INTEGER) AS ordinal, d.column_name AS \"column\", "
     f"{_NATIVE} AS spark_type, {_LOGICAL} AS logical_type, "
     "column_type <> 'VARCHAR' AND column_type <> 'TIMESTAMP' AS chart_value, "
-    "column_type = 'VARCHAR' AS chart_group, true AS chart_outer, true AS filterable "
-    "FROM (DESCRIBE lineitem)",
+    "column_type = 'VARCHAR' AS chart_group, true AS chart_outer, true AS filterable, n.non_null "
+    "FROM (SELECT row_number() OVER () - 1 AS ordinal, * FROM (DESCRIBE lineitem)) d JOIN ("
+    + _tall_sql("lineitem", _LINEITEM, "count($c) AS non_null")
+    + ') n ON n."column" = d.column_name',
 )
 def _(t):
-    # Opening the table looks through its text columns for empty ones.
-    return Table.open(t.spark, t.path("lineitem")).describe()
+    table = Table.open(t.spark, t.path("lineitem"))
+    counts = statistics.null_statistics(table.df, table.columns).select("column", "non_null")
+    return table.describe().join(counts, "column")
 
 
 _INVENTORY = {

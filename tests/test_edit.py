@@ -24,6 +24,14 @@ def test_empty_columns(main):
     assert edit.empty_columns(main.select("id")).count() == 0
 
 
+def test_values_beyond_the_first_rows_are_found(spark):
+    df = spark.range(5000).selectExpr(
+        "case when id = 4321 then 'here' end as late", "cast(null as string) as never", "'x' as always"
+    )
+    assert edit.find_empty(df) == ["never"]
+    assert edit.find_empty(df.where("false")) == ["late", "never", "always"]
+
+
 def test_retype_text(spark):
     texts = ["1.5", "1e3", " 7 ", "1,5", "99999999999", "NaN", "abc", "1.0", "1d", "0x1F"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
