@@ -171,11 +171,12 @@ def file_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
     """
     placed = with_place(df)
     sizes = placed.groupBy(_FILE).agg((F.max(_INDEX) + 1).alias("n"))
-    # One row per file.
+    # One row per file, no more than the file listing Spark itself keeps; the hint
+    # spares the table a shuffle by file.
     before = Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_FILE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     return (
-        placed.join(offsets, _FILE)
+        placed.join(F.broadcast(offsets), _FILE)
         .withColumn(name, F.col("__before") + F.col(_INDEX) + 1)
         .select(*[col(c) for c in df.columns], name)
     )
@@ -184,8 +185,9 @@ def file_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
 def file_slice(df: DataFrame, start: int, count: int) -> DataFrame:
     """Rows ``start .. start + count`` (0-based) in file order, of a filtered scan.
 
-    The rows come with their place (see :func:`with_place`). One pass counts the rows of each stretch of a file, then only the files and
-    stretches that hold the slice are read. Nothing is sorted but those.
+    The rows come with their place (see :func:`with_place`). One pass counts the rows
+    of each stretch of a file, then only the files and stretches that hold the slice
+    are read. Nothing is sorted but those.
     """
     placed = with_place(df)
     chunk = F.floor(F.col(_INDEX) / F.lit(_CHUNK)).alias("__chunk")

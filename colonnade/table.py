@@ -98,6 +98,18 @@ class Table:
             self.column(item.column)
         return replace(self, filters=(*self.filters, *filters))
 
+    def above(self, column: int | str, threshold) -> Table:
+        """Keep values above a threshold; for text, values longer than it."""
+        name = self.column(column)
+        is_text = self.kinds[name] is LogicalType.STRING
+        return self.add_filters((flt.longer_than if is_text else flt.above)(name, threshold))
+
+    def below(self, column: int | str, threshold) -> Table:
+        """Keep values below a threshold; for text, values shorter than it."""
+        name = self.column(column)
+        is_text = self.kinds[name] is LogicalType.STRING
+        return self.add_filters((flt.shorter_than if is_text else flt.below)(name, threshold))
+
     def sorted_by(self, column: int | str, ascending: bool = True) -> Table:
         """Sort by one column; this replaces all filters."""
         return replace(self, filters=(flt.sort_by(self.column(column), ascending),))
@@ -137,6 +149,10 @@ class Table:
             return paging.file_page(self.view(), index, size, order)
         return paging.page(self.view(), [*order, *[(name, True) for name in key]], index, size)
 
+    def cell(self, row: int, column: int | str) -> DataFrame:
+        """One cell by its 0-based row in the view; empty past the last row."""
+        return edit.select(self.page(row, 1), [self.column(column)])
+
     def row_count(self) -> DataFrame:
         return flt.filtered_count(self.df, self.filters)
 

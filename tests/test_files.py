@@ -46,6 +46,10 @@ def test_filters_live_on_the_handle(stored):
     assert values(stored.page(1, 3), "id") == [4, 5]
     assert values(stored.row_count()) == [5]
     assert table.clear_filters("val").filters == ()
+    assert values(table.cell(1, "txt")) == ["beta"]
+    assert values(stored.cell(4, 0)) == [5] and values(stored.cell(5, 0)) == []
+    assert values(stored.above("txt", 5).view(), "id") == [3]
+    assert values(stored.below(1, 10).view(), "id") == [4]
     table.clear_filters().save_filters()
     table.save_filters()
     assert stored.load_filters().filters == table.filters
