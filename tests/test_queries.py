@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from colonnade import plans
 from tests.compare import connect, difference
 
 FOLDER = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = plans.queries(), plans.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(SQL) <= set(entry_module.oracle_sql())
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["category", "value"]
