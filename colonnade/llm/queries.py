@@ -7,12 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, search
+from colonnade.llm import chat, html, search, warc
 from colonnade.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the archives, index them, look every page's address up, and read the records."""
+    pages = table(spark, folder, "pages")
+    archive = warc.index(spark, warc.write(pages))
+    captures = warc.lookup(archive, pages.select("url"))
+    return warc.fetch(archive, captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), coded AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest
+  FROM hashed
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM coded
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM firsts
+"""
+
+
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract_pages(table(spark, folder, "pages"))
+
+
 def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -58,8 +88,8 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-_QUERIES: dict[str, Query] = {"op7_topk": op7_topk, "op10_chat": op10_chat}
-_SQL = {"op7_topk": OP7_SQL, "op10_chat": OP10_SQL}
+_QUERIES: dict[str, Query] = {"op5_warc": op5_warc, "op7_topk": op7_topk, "op9_html": op9_html, "op10_chat": op10_chat}
+_SQL = {"op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL}
 
 
 def queries() -> dict[str, Query]:
