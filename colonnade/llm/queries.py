@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, decontam, html, search, warc
+from colonnade.llm import chat, decontam, html, packing, search, warc
 from colonnade.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,17 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def model_file() -> str:
+    """The tokenizer of the registered queries."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), model_file())
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Write the archives, index them, look every page's address up, and read the records."""
     pages = table(spark, folder, "pages")
@@ -92,7 +103,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op5_warc": op5_warc, "op7_topk": op7_topk, "op9_html": op9_html, "op10_chat": op10_chat}
+_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op5_warc": op5_warc, "op7_topk": op7_topk, "op9_html": op9_html, "op10_chat": op10_chat}
 _SQL = {"op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL}
 
 
