@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, decontam, html, packing, search, warc
+from colonnade.llm import chat, decontam, html, packing, pii, search, warc
 from colonnade.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,18 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), model_file())
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.detect(documents, pii.fit(documents))
+    of_kind = lambda kind: F.size(F.filter(F.split("strict_spans", ","), lambda s: s.startswith(f"{kind}:"))).cast("long")
+    return found.select(
+        "doc_id",
+        *(of_kind(kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2("strict_spans", 256).alias("base_sha256"),
+        F.col("all_spans").alias("spans"),
+    )
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Write the archives, index them, look every page's address up, and read the records."""
     pages = table(spark, folder, "pages")
@@ -103,7 +115,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op5_warc": op5_warc, "op7_topk": op7_topk, "op9_html": op9_html, "op10_chat": op10_chat}
+_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op5_warc": op5_warc, "op7_topk": op7_topk, "op9_html": op9_html, "op10_chat": op10_chat}
 _SQL = {"op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL}
 
 
