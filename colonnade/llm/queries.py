@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, decontam, html, packing, pii, search, warc
+from colonnade.llm import chat, decontam, html, jaccard, packing, pii, search, warc
 from colonnade.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents")).drop("set_class")
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Write the archives, index them, look every page's address up, and read the records."""
     pages = table(spark, folder, "pages")
@@ -115,7 +119,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op5_warc": op5_warc, "op7_topk": op7_topk, "op9_html": op9_html, "op10_chat": op10_chat}
+_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_jaccard": op4_jaccard, "op5_warc": op5_warc, "op7_topk": op7_topk, "op9_html": op9_html, "op10_chat": op10_chat}
 _SQL = {"op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL}
 
 
