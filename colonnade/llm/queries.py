@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, decontam, html, jaccard, packing, pii, search, warc
+from colonnade.llm import chat, decontam, html, jaccard, packing, pii, search, toxicity, warc
 from colonnade.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,13 @@ FROM firsts
 """
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, folder, "labels"))
+    held_out = ~toxicity.training_fold(F.col("doc_id"))
+    return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract_pages(table(spark, folder, "pages"))
 
@@ -119,7 +126,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_jaccard": op4_jaccard, "op5_warc": op5_warc, "op7_topk": op7_topk, "op9_html": op9_html, "op10_chat": op10_chat}
+_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_jaccard": op4_jaccard, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op9_html": op9_html, "op10_chat": op10_chat}
 _SQL = {"op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL}
 
 
