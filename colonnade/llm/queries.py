@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, decontam, html, jaccard, packing, pii, search, toxicity, warc
+from colonnade.llm import chat, decontam, html, jaccard, lm, packing, pii, search, toxicity, warc
 from colonnade.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_lm(spark: SparkSession, folder: str) -> DataFrame:
+    training = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
+    return lm.score(table(spark, folder, "documents"), training, F.col("lang"))
+
+
 def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract_pages(table(spark, folder, "pages"))
 
@@ -126,7 +131,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_jaccard": op4_jaccard, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op9_html": op9_html, "op10_chat": op10_chat}
+_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_jaccard": op4_jaccard, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_html": op9_html, "op10_chat": op10_chat}
 _SQL = {"op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL}
 
 

@@ -27,7 +27,8 @@ _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
 
-def _grow(n: int) -> None:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the hash's base and of its inverse, modulo 2**64."""
     global _powers, _inverses
     if len(_powers) < n:
         n = max(n, _BLOCK + 1)
@@ -36,20 +37,21 @@ def _grow(n: int) -> None:
         _powers = np.multiply.accumulate(step)
         step[1:] = pow(_K, -1, 1 << 64)
         _inverses = np.multiply.accumulate(step)
+    return _powers, _inverses
 
 
 def _words(data: bytes) -> np.ndarray:
     """The hashes of the words of lower-cased ``data`` that ends in white space."""
     b = np.frombuffer(data, dtype=np.uint8)
-    _grow(len(b) + 1)
+    power, inverse = powers(len(b) + 1)
     space = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]
     total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers[: len(b)], out=total[1:])
-    return mixed((total[end] - total[start]) * _inverses[start])
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=total[1:])
+    return mixed((total[end] - total[start]) * inverse[start])
 
 
 def _blocks(data: bytes) -> Iterable[bytes]:
