@@ -157,7 +157,10 @@ def entries(documents: DataFrame, rare, width: int, bits: int, rule: Rule) -> Da
 
 
 def segments(documents: DataFrame, wanted: DataFrame, rare, width: int, bits: int, fragments: int) -> DataFrame:
-    """The sets of the classes in ``wanted`` (class, doc_id of one member), cut into fragments."""
+    """The sets of the classes in ``wanted`` (class, doc_id of one member), cut into fragments.
+
+    A class comes again for each further row with that doc_id and its set.
+    """
     ids = wanted.select("doc_id")
     texts = _texts(documents).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     few = wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
@@ -180,9 +183,7 @@ def segments(documents: DataFrame, wanted: DataFrame, rare, width: int, bits: in
                         rows.append((name, f, part.tobytes()))
             yield pd.DataFrame(rows, columns=["class", "fragment", "shingles"])
 
-    found = texts.mapInPandas(scan, SEGMENTS)
-    # Rows with one id can hold different texts; each class is kept once.
-    return written(found.dropDuplicates(["class", "fragment"]), "shingle-segments")
+    return written(texts.mapInPandas(scan, SEGMENTS), "shingle-segments")
 
 
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,17 +193,40 @@ def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
             for x, y in zip(batch["left"], batch["right"], strict=True)
         ]
-        yield batch[["a", "b", "size_a", "size_b"]].assign(shared=shared)
+        yield batch[["a", "b", "size_a", "size_b", "fragment"]].assign(shared=shared)
 
 
-def verified(pairs: DataFrame, cut: DataFrame, rule: Rule) -> DataFrame:
-    """The linked ones of candidate ``pairs`` (a, b, size_a, size_b): partial counts summed per pair."""
-    left = cut.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("left"))
-    right = cut.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("right"))
-    met = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "size_a", "size_b", "left", "right")
-    partial = met.mapInPandas(_overlaps, "a long, b long, size_a int, size_b int, shared long")
-    total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
-    return total.where(rule.reachable(F.col("shared"), F.col("size_a"), F.col("size_b"))).select("a", "b")
+@dataclass(frozen=True)
+class Join:
+    """What the steps of one join share."""
+
+    documents: DataFrame
+    members: DataFrame
+    rare: object
+    width: int
+    bits: int
+    rule: Rule
+    fragments: int
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of candidate ``pairs`` (a, b, size_a, size_b): partial counts summed per pair.
+
+        Only the sets that a candidate needs are cut and moved, by another pass over the texts.
+        """
+        pairs = written(pairs, "shingle-pairs")
+        if pairs.isEmpty():
+            return pairs.select("a", "b")
+        asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        wanted = written(self.members.join(asked, "class", "left_semi"), "shingle-classes")
+        cut = segments(self.documents, wanted, self.rare, self.width, self.bits, self.fragments)
+        left = cut.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("left"))
+        right = cut.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("right"))
+        met = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "size_a", "size_b", "fragment", "left", "right")
+        partial = met.mapInPandas(_overlaps, "a long, b long, size_a int, size_b int, fragment int, shared long")
+        pair = ["a", "b", "size_a", "size_b"]
+        # Rows of one id and set bring a segment again, with the same count.
+        total = partial.groupBy(*pair, "fragment").agg(F.max("shared").alias("shared")).groupBy(*pair).agg(F.sum("shared").alias("shared"))
+        return total.where(self.rule.reachable(F.col("shared"), F.col("size_a"), F.col("size_b"))).select("a", "b")
 
 
 def _possible(rule: Rule, n: Column, place: Column, m: Column, other: Column) -> Column:
@@ -234,21 +258,18 @@ def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return out.join(split.select("shingle"), "shingle", "left_semi")
 
 
-def link_classes(documents: DataFrame, members: DataFrame, bits: int, rare, width: int, rule: Rule, fragments: int) -> DataFrame:
+def link_classes(join: Join) -> DataFrame:
     """(node, component) of the classes that link with another class."""
-    early = entries(documents, rare, width, bits, rule)
+    rule = join.rule
+    early = entries(join.documents, join.rare, join.width, join.bits, rule)
     bucket = Window.partitionBy("shingle")
-    shared = early.repartition(shuffle_partitions(documents.sparkSession), "shingle")
+    shared = early.repartition(shuffle_partitions(join.documents.sparkSession), "shingle")
     shared = shared.withColumn("low", F.min("class").over(bucket)).withColumn("high", F.max("class").over(bucket))
     shared = written(shared.where("low <> high").drop("low", "high").distinct(), "shingle-entries")
-    wanted = written(members.join(shared.select("class").distinct(), "class", "left_semi"), "shingle-classes")
-    cut = segments(documents, wanted, rare, width, bits, fragments)
 
-    entry = F.struct("class", "n", "place")
-    links = written(verified(_star(shared, None, rule, F.min(entry)), cut, rule), "links")
+    links = written(join.verified(_star(shared, None, rule, F.min(F.struct("class", "n", "place")))), "links")
     labels = components(links)
-    entry = F.struct("class", "n", "place", "component")
-    more = verified(_star(shared, labels, rule, F.max(entry)), cut, rule)
+    more = join.verified(_star(shared, labels, rule, F.max(F.struct("class", "n", "place", "component"))))
     links = written(links.unionByName(more), "links")
     labels = components(links)
 
@@ -258,7 +279,7 @@ def link_classes(documents: DataFrame, members: DataFrame, bits: int, rare, widt
     right = open_.select("shingle", F.col("class").alias("b"), F.col("n").alias("size_b"), F.col("place").alias("place_b"), F.col("component").alias("of_b"))
     can = _possible(rule, F.col("size_a"), F.col("place_a"), F.col("size_b"), F.col("place_b"))
     rest = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & can)
-    rest = verified(rest.select("a", "b", "size_a", "size_b").distinct(), cut, rule)
+    rest = join.verified(rest.select("a", "b", "size_a", "size_b").distinct())
     return components(written(links.unionByName(rest), "links"))
 
 
@@ -282,7 +303,7 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     rare = spark.sparkContext.broadcast(rarity(profiled, bits))
     named = F.coalesce("doc_id", F.lit(_NO_ID))
     members = written(rows.where("n > 0").groupBy("class").agg(F.min(named).alias("doc_id")), "shingle-members")
-    labels = link_classes(documents, members, bits, rare, width, rule, fragments)
+    labels = link_classes(Join(documents, members, rare, width, bits, rule, fragments))
     labels = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = labels.join(names, "component").select("class", "component_id")
