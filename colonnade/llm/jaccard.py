@@ -9,7 +9,7 @@ its own, where only the two short segments meet, and the partial counts are summ
 
 Documents with equal sets are one class from the start. Within a group of near copies, it
 takes no more links than connect it: first every set is compared with one leader of each
-shingle it shares, then with another, and what is compared pair by pair in the end are
+shingle it shares, then with drawn ones, and what is compared pair by pair in the end are
 only sets that share an early shingle and are still in different components.
 """
 
@@ -41,6 +41,8 @@ FRAGMENTS = 4
 SKETCH_BITS = 22
 #: Classes that are broadcast to pick documents out of a scan, at most (8 bytes each); more are joined.
 BROADCAST_CLASSES = 2_000_000
+#: Rounds at most in which sets are compared with drawn leaders, before the rest is compared pair by pair.
+STAR_ROUNDS = 1
 _SKETCH_PART = 1 << 16
 #: Stands for a missing document id in minima.
 _NO_ID = (1 << 63) - 1
@@ -267,11 +269,17 @@ def link_classes(join: Join) -> DataFrame:
     shared = shared.withColumn("low", F.min("class").over(bucket)).withColumn("high", F.max("class").over(bucket))
     shared = written(shared.where("low <> high").drop("low", "high").distinct(), "shingle-entries")
 
-    links = written(join.verified(_star(shared, None, rule, F.min(F.struct("class", "n", "place")))), "links")
-    labels = components(links)
-    more = join.verified(_star(shared, labels, rule, F.max(F.struct("class", "n", "place", "component"))))
-    links = written(links.unionByName(more), "links")
+    entry = ["class", "n", "place"]
+    links = written(join.verified(_star(shared, None, rule, F.min(F.struct(*entry)))), "links")
     labels = components(links)
+    for k in range(STAR_ROUNDS):
+        # Another leader in every shingle: a set is compared with many sets of its group.
+        drawn = F.min_by(F.struct(*entry, "component"), F.xxhash64("class", "shingle", F.lit(k)))
+        more = written(join.verified(_star(shared, labels, rule, drawn)), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
 
     # What is left: sets of different components that share an early shingle.
     open_ = written(_labelled(shared, labels), "shingle-open")
