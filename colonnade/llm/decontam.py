@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.shared import small_batches
+from colonnade.llm.shared import small_batches, small_or_joined, written
 
 #: Edits allowed per hundred characters of an item.
 EDIT_PERCENT = 10
@@ -199,7 +199,7 @@ def find(documents: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT_PE
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; rows and columns otherwise as they are.
 
-    Documents without an id stay only if their text holds no item either.
+    If one of several documents of an id, or without one, holds an item, all of them go.
     """
-    hit = find(documents, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    return documents.join(hit, documents["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    hit = written(find(documents, benchmark).select(F.col("doc_id").alias("__hit")).distinct(), "leaks")
+    return documents.join(small_or_joined(hit), documents["doc_id"].cast("long").eqNullSafe(F.col("__hit")), "left_anti")

@@ -24,10 +24,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from colonnade.llm.components import components
-from colonnade.llm.shared import shuffle_partitions, small_batches, written
+from colonnade.llm.shared import shuffle_partitions, small_batches, small_or_joined, written
 from colonnade.llm.shingles import mixed, shingle_sets
 
 #: Words of a shingle.
@@ -39,8 +40,6 @@ FRAGMENTS = 4
 #: Counters of the sketch that orders shingles by frequency, as a power of two, at most.
 #: It only shapes the order; any order gives the same links.
 SKETCH_BITS = 22
-#: Classes that are broadcast to pick documents out of a scan, at most (8 bytes each); more are joined.
-BROADCAST_CLASSES = 2_000_000
 #: Rounds at most in which sets are compared with drawn leaders, before the rest is compared pair by pair.
 STAR_ROUNDS = 1
 _SKETCH_PART = 1 << 16
@@ -165,8 +164,7 @@ def segments(documents: DataFrame, wanted: DataFrame, rare, width: int, bits: in
     """
     ids = wanted.select("doc_id")
     texts = _texts(documents).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    few = wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = texts.join(small_or_joined(ids), "doc_id", "left_semi")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = rare.value
@@ -291,6 +289,20 @@ def link_classes(join: Join) -> DataFrame:
     return components(written(links.unionByName(rest), "links"))
 
 
+def with_set_class(documents: DataFrame, name: str, width: int = WIDTH) -> DataFrame:
+    """``documents`` with the class of each row's set in a column ``name``, null for an empty set."""
+    schema = T.StructType([*documents.schema, T.StructField(name, T.LongType())])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shingles, bounds = shingle_sets(["" if t is None else t for t in batch["text"]], width)
+            names = pd.Series(set_class(shingles, bounds), index=batch.index, dtype="Int64")
+            yield batch.assign(**{name: names.mask(np.diff(bounds) == 0)})
+
+    small_batches(documents.sparkSession)
+    return documents.mapInPandas(scan, schema)
+
+
 def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, fragments: int = FRAGMENTS) -> DataFrame:
     """doc_id, n_shingles, set_class and component_id for every row of ``documents``.
 

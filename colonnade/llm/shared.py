@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch at most: long texts must not pile up in a worker.
 BATCH_ROWS = 1000
@@ -48,3 +49,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+#: Rows of a few numbers each that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_or_joined(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (narrow rows) marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
