@@ -11,6 +11,7 @@ round never needs more sequences than the one before.
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,6 +36,10 @@ CACHED_WORDS = 800_000
 SHARD_PIECES = 8_000
 #: Rounds over the bins that are left underfull.
 ROUNDS = 3
+#: Share of the capacity from which a bin is not packed anew in a later round.
+WELL_FILLED = 0.98
+#: Bins that a pass of the search tries to empty, and passes without success after which it ends.
+_EMPTIEST, _PASSES = 64, 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -171,8 +177,9 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Empty as many bins as moves and exchanges can; every step raises the sum of squared fills.
 
-    The search ends when the sizes show that no bin can be saved, or in a local optimum:
-    a whole pass over the least filled bins without one emptied.
+    Each pass tries the least filled bins in turn and ends with the first one emptied. The
+    search ends when the sizes show that no bin can be saved, in a local optimum, or after
+    ``_PASSES`` passes without a bin emptied.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
     full = [bins[b] for b in range(len(bins)) if fill[b] == capacity]
@@ -235,40 +242,34 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
         put(v, [swapped], group)
         return True
 
-    stuck = 0
-    order = sorted(open_bins, key=lambda b: fill[b])
-    while len(open_bins) > least and stuck < len(order):
-        v = order[stuck]
+    passes = 0
+    while len(open_bins) > least and passes < _PASSES:
+        passes += 1
         moved = False
-        while open_bins[v] and improve(v):
-            moved = True
-        if not open_bins[v]:
-            gaps[capacity - fill[v]].discard(v)
-            del open_bins[v]
-            stuck = 0
-        elif moved and stuck:
-            stuck = 0 if stuck > 8 else stuck + 1
-        else:
-            stuck += 1
-        if stuck >= 64:  # what a fuller bin could give was on offer to the 64 emptiest ones
+        for v in heapq.nsmallest(_EMPTIEST, open_bins, key=lambda b: (fill[b], b)):
+            while open_bins[v] and improve(v):
+                moved = True
+            if not open_bins[v]:
+                gaps[capacity - fill[v]].discard(v)
+                del open_bins[v]
+                passes = 0
+                break
+        if not moved:
             break
-        order = sorted(open_bins, key=lambda b: fill[b])
     return full + list(open_bins.values())
 
 
-def _place(frame: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
-    """Pack a shard (uid, length, bin); bins start as given where ``bin`` is set."""
+def _place(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Pack a shard (uid, length, bin), from scratch and from the given bins where ``bin`` is set."""
     frame = frame.sort_values("uid", kind="stable")
     sizes = [int(x) for x in frame["length"]]
+    bins = local_search(best_fit(sizes, capacity), sizes, capacity)
     given = frame["bin"].to_numpy()
     if (given >= 0).all():
         order: dict[int, list[int]] = {}
         for i, b in enumerate(given):
             order.setdefault(int(b), []).append(i)
-        bins = list(order.values())
-    else:
-        bins = best_fit(sizes, capacity)
-    bins = local_search(bins, sizes, capacity)
+        bins = min(bins, local_search(list(order.values()), sizes, capacity), key=len)
     uid = frame["uid"].to_numpy()
     out = []
     for b in bins:
@@ -281,6 +282,18 @@ def _place(frame: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["uid", "length", "bin", "offset", "fill"])
 
 
+def _dealt(items: DataFrame, shards: int) -> DataFrame:
+    """Each task deals its pieces, sorted by length, to the shards in turn, so that all shards get the same mix of lengths."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            yield batch.assign(shard=(at + np.arange(len(batch))) % shards)
+            at += len(batch)
+
+    return items.sortWithinPartitions("length", "uid").mapInPandas(deal, "uid long, length long, bin long, shard int")
+
+
 PLACES = "uid long, length long, bin long, offset long, fill long"
 
 
@@ -288,8 +301,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     """``pieces`` (any columns, with ``uid`` unique and ``length`` from 1 to ``capacity``) with sequence_id and offset.
 
     Offsets in a sequence run from 0 without gaps; no sequence exceeds ``capacity``.
-    Shards are dealt by a hash of ``uid``, so equal documents spread over them, and hold
-    some ``shard_pieces`` pieces however many there are. An empty table gives none.
+    Shards hold some ``shard_pieces`` pieces of the same mix of lengths, however many there
+    are and however often one document is repeated. An empty table gives none.
     """
     full = F.col("length") == capacity
     items = pieces.where(~full).select("uid", F.col("length").cast("long").alias("length"), F.lit(-1).cast("long").alias("bin"))
@@ -297,18 +310,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     for k in range(ROUNDS):
         shards = max(1, -(-items.count() // shard_pieces))
         # A bin of an earlier round stays together: it is dealt by its name.
-        shard = F.pmod(F.xxhash64(F.when(F.col("bin") < 0, F.col("uid")).otherwise(F.col("bin")), F.lit(k)), F.lit(shards))
+        by_name = F.pmod(F.xxhash64("bin", F.lit(k)), F.lit(shards)).cast("int")
+        shared_out = _dealt(items, shards) if k == 0 else items.withColumn("shard", by_name)
         packed = written(
-            items.withColumn("shard", shard).groupBy("shard").applyInPandas(
-                lambda frame: _place(frame[["uid", "length", "bin"]], capacity, 0), PLACES
+            shared_out.groupBy("shard").applyInPandas(
+                lambda frame: _place(frame[["uid", "length", "bin"]], capacity), PLACES
             ),
             "packing",
         )
         last = k == ROUNDS - 1 or shards == 1
-        done.append(packed if last else packed.where(F.col("fill") == capacity))
+        loose = F.col("fill") < WELL_FILLED * capacity
+        done.append(packed if last else packed.where(~loose))
         if last:
             break
-        items = packed.where(F.col("fill") < capacity).select("uid", "length", "bin")
+        items = packed.where(loose).select("uid", "length", "bin")
     places = done[0]
     for more in done[1:]:
         places = places.unionByName(more)

@@ -25,6 +25,7 @@ BLOCK = "dim int, max_norm double, ids binary, vectors binary"
 HITS = "query_id long, vec_id long, score long"
 #: Inner products of doubles are exact below this.
 _EXACT = 2.0**53
+_LONGEST = 2**63 - 1
 
 
 def clean_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -115,8 +116,8 @@ def _exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     bound = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * queries.shape[1]
     if bound < _EXACT:
         return (queries @ vectors.T).astype(np.int64)
-    big = queries.astype(object) @ vectors.astype(object).T
-    return np.vectorize(int, otypes=[object])(big)
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(queries) @ whole(vectors).T, -_LONGEST, _LONGEST)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -158,7 +159,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     score; ties go to the smaller id, a query is no candidate of its own. Rows with equal
     ids are candidates each, but not for queries of that id; a repeated query id is one
     query, the row with the largest norm and then the largest components. Vectors of different
-    dimensions don't meet. Fewer than ``k`` candidates give all of them, an empty table
+    dimensions don't meet. Components and scores beyond 64 bits are cut to that range. Fewer than ``k`` candidates give all of them, an empty table
     gives no rows.
 
     Query blocks meet candidate blocks by an equi-join on the block number, so each task
@@ -191,6 +192,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
                     floor = np.full(len(q), -np.inf)
                 else:
                     floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                floor = np.where(np.abs(floor) < _EXACT, floor, floor - 1e-12 * np.abs(floor))  # rounded scores
                 floors.append(floor.tobytes())
             yield batch[["dim", "q_ids", "q_vectors"]].assign(floors=floors)
 
