@@ -35,12 +35,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
+class BatchSize:
+    """A setting that was lowered and can be put back."""
+
+    def __init__(self, spark: SparkSession, before: str):
+        self.spark, self.before = spark, before
+
+    def restore(self) -> None:
+        self.spark.conf.set(_BATCH, self.before)
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> BatchSize:
     """Lower the session's Arrow batch size for operators that read whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    now = spark.conf.get(_BATCH)
+    if int(now) <= 0 or int(now) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return BatchSize(spark, now)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
