@@ -8,6 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def summed(c: Column, spark_type: T.DataType) -> Column:
+    """The sum; of whole numbers as a 38-digit decimal, which no table overflows."""
+    if isinstance(spark_type, T.IntegralType):
+        return F.sum(c.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.sum(c)
 
 
 def _as_double(c: Column) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.functions.aggregates import summed
 from colonnade.operators import filters as flt
 from colonnade.operators.ordered import running_sums
 from colonnade.staging import staged
@@ -35,12 +36,12 @@ def _grouped(
     percentage: bool,
     denominator: str,
 ) -> DataFrame:
-    require_numeric(df, value)
+    spark_type = require_numeric(df, value)
     if denominator not in ("all", "filtered"):
         raise ValueError("denominator must be 'all' or 'filtered'")
     kept = flt.apply(df, filters)
     # A group without any value is drawn as zero.
-    total = F.coalesce(F.sum(col(value)).cast("double"), F.lit(0.0))
+    total = F.coalesce(summed(col(value), spark_type).cast("double"), F.lit(0.0))
     grouped = kept.groupBy(*[col(name).alias(alias) for alias, name in keys.items()]).agg(
         total.alias("value")
     )
@@ -50,7 +51,7 @@ def _grouped(
         # The groups hold the whole total, so the table is scanned once.
         base = grouped.agg(F.sum("value")).scalar()
     else:
-        base = df.agg(F.sum(col(value)).cast("double")).scalar()
+        base = df.agg(summed(col(value), spark_type).cast("double")).scalar()
     return grouped.withColumn("value", F.try_divide(F.col("value") * 100.0, base))
 
 

@@ -163,10 +163,18 @@ def _malformed(value, spark_type: T.DataType) -> ValueError:
     return ValueError(f"{value!r} is not a {spark_type.simpleString()} value")
 
 
+# The least and the largest number of each whole type.
+_RANGES = {
+    kind: (-(2**bits), 2**bits - 1)
+    for kind, bits in ((T.ByteType, 7), (T.ShortType, 15), (T.IntegerType, 31), (T.LongType, 63))
+}
+
+
 def _compare_integer(column: Column, op: Op, value: str, spark_type: T.DataType) -> Column:
     """Compare whole numbers with any number, without casting the column.
 
-    A fractional bound moves to the whole number that gives the same rows.
+    A fractional bound moves to the whole number that gives the same rows; one that the
+    column's own type cannot hold keeps all present values or none.
     """
     try:
         number = Decimal(value)
@@ -174,22 +182,22 @@ def _compare_integer(column: Column, op: Op, value: str, spark_type: T.DataType)
         raise _malformed(value, spark_type) from None
     never = F.lit(False)
     always = column.isNotNull()
-    beyond = number.is_nan() or number.is_infinite() or abs(number) >= 2**63
-    if beyond:
-        high = number.is_nan() or number > 0
+    least, most = _RANGES[type(spark_type)]
+
+    def beyond(high: bool) -> Column:
         if op in (Op.GREATER, Op.GREATER_EQUAL):
             return never if high else always
         if op in (Op.LESS, Op.LESS_EQUAL):
             return always if high else never
         return never if op is Op.EQUAL else always
+
+    if number.is_nan() or number > most or number < least:
+        return beyond(high=number.is_nan() or number > 0)
     whole = number == number.to_integral_value()
     if op in (Op.EQUAL, Op.NOT_EQUAL) and not whole:
         return never if op is Op.EQUAL else always
-    if op in (Op.GREATER, Op.LESS_EQUAL):
-        bound = math.floor(number)
-    else:
-        bound = math.ceil(number)
-    return _apply(column, op, F.lit(bound).cast("bigint" if abs(bound) >= 2**31 else spark_type))
+    bound = math.floor(number) if op in (Op.GREATER, Op.LESS_EQUAL) else math.ceil(number)
+    return _apply(column, op, F.lit(bound).cast(spark_type))
 
 
 def _literal(value: str, spark_type: T.DataType) -> Column:

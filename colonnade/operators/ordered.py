@@ -33,7 +33,7 @@ def sort_columns(order: Order) -> list[Column]:
     ]
 
 
-def _tie_break(df: DataFrame) -> list[Column]:
+def tie_break(df: DataFrame) -> list[Column]:
     """A value that tells rows apart and is the same when a lost task runs again.
 
     The place in the Parquet file where there is one, else a hash of the row. (A
@@ -50,7 +50,7 @@ def _tie_break(df: DataFrame) -> list[Column]:
 
 def _placed(df: DataFrame, keys: list[Column]) -> DataFrame:
     """Sorted rows with their partition and place in it, written once."""
-    ties = {f"__tie{i}": tie for i, tie in enumerate(_tie_break(df))}
+    ties = {f"__tie{i}": tie for i, tie in enumerate(tie_break(df))}
     ordered = df.withColumns(ties).orderBy(*keys, *ties).drop(*ties)
     placed = ordered.withColumn(_AT, F.monotonically_increasing_id())
     return staged(

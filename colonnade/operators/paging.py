@@ -12,13 +12,14 @@ from colonnade.operators.ordered import (
     number_rows,
     row_slice,
     sort_columns,
+    tie_break,
     with_place,
 )
 from colonnade.types import col
 
-PAGE_SIZES = (500, 1000, 5000, 10000)
 DEFAULT_PAGE_SIZE = 1000
-# Up to this depth a page is a top-k in one task; deeper pages go by row position.
+# Up to this depth a page is a top-k in one task; deeper pages go by row position. Both
+# put equal rows in the same order.
 TOP_ROWS = 200_000
 
 
@@ -29,7 +30,8 @@ def sort(df: DataFrame, order: Order) -> DataFrame:
 def rows(df: DataFrame, order: Order, limit: int = -1, offset: int = -1) -> DataFrame:
     """``limit`` rows after ``offset`` rows of the order; -1 leaves either out.
 
-    ``order`` must be total (end it with a key) for the rows to be determined.
+    Equal rows of the order follow each other by their place in the file, or by a hash of
+    the row where there is none, at every depth. So pages never share or leave out rows.
     """
     start = max(offset, 0)
     if limit < 0 and start == 0:
@@ -39,8 +41,9 @@ def rows(df: DataFrame, order: Order, limit: int = -1, offset: int = -1) -> Data
         numbered = number_rows(df, order, "__row_number")
         return sort(numbered.where(F.col("__row_number") > start).drop("__row_number"), order)
     if start + limit <= TOP_ROWS:
-        ordered = sort(df, order)
-        return (ordered.offset(start) if start else ordered).limit(limit)
+        ties = {f"__tie{i}": tie for i, tie in enumerate(tie_break(df))}
+        ordered = df.withColumns(ties).orderBy(*sort_columns(order), *ties)
+        return (ordered.offset(start) if start else ordered).limit(limit).drop(*ties)
     return sort(row_slice(df, order, start, limit), order)
 
 

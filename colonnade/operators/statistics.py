@@ -34,6 +34,29 @@ def numeric_statistics(
     return made.fillna(0.0, counts).unpivot("column", names, "statistic", "value")
 
 
+def whole_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, statistic, value)``: exact min, max, range and sum of whole-number columns.
+
+    Values are 38-digit decimals, where :func:`numeric_statistics` gives doubles, which
+    round whole numbers beyond 2**53.
+    """
+    for name in columns:
+        require(df, name, LogicalType.INTEGER)
+    cells = {name: col(name).cast("decimal(19,0)") for name in columns}
+    wide = "decimal(38,0)"
+    made = aggregate_columns(
+        df,
+        cells,
+        lambda x: {
+            "min": F.min(x).cast(wide),
+            "max": F.max(x).cast(wide),
+            "range": (F.max(x) - F.min(x)).cast(wide),
+            "sum": F.sum(x).cast(wide),
+        },
+    )
+    return made.unpivot("column", ["min", "max", "range", "sum"], "statistic", "value")
+
+
 def mean_absolute_deviation(df: DataFrame, column: str) -> DataFrame:
     """Mean distance from the mean. The mean is a scalar subquery, not a window."""
     require_numeric(df, column)

@@ -6,7 +6,9 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from colonnade.functions.aggregates import summed
 from colonnade.operators import filters as flt
 from colonnade.types import LogicalType, classify, col, field_type, is_nested
 
@@ -26,10 +28,12 @@ def allowed_aggregates(kind: LogicalType) -> tuple[str, ...]:
     return _ALLOWED[kind]
 
 
-def _aggregate(name: str, c: Column, approx: bool) -> Column:
+def _aggregate(name: str, c: Column, spark_type: T.DataType, approx: bool) -> Column:
     if name == "count_distinct":
         return F.approx_count_distinct(c) if approx else F.count_distinct(c)
-    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[name](c)
+    if name == "sum":
+        return summed(c, spark_type)
+    return {"avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[name](c)
 
 
 def subtable(
@@ -54,6 +58,6 @@ def subtable(
         if name == by or how not in allowed_aggregates(kind) or nested:
             raise ValueError(f"{how!r} is not offered for {kind.value} column {name!r}")
         if how != "none":
-            chosen.append(_aggregate(how, col(name), approx).alias(f"{name}_{how}"))
+            chosen.append(_aggregate(how, col(name), field_type(df, name), approx).alias(f"{name}_{how}"))
     kept = flt.apply(df, filters)
     return kept.groupBy(col(by)).agg(*chosen) if chosen else kept.select(col(by)).distinct()

@@ -380,3 +380,17 @@ _INVENTORY = {
 def _(t):
     tables = [Table(getattr(t, name), name, t.path(name)) for name in _INVENTORY]
     return inventory(t.spark, tables).select("alias", "row_count", "column_count")
+
+
+_WHOLE = "CAST(l_orderkey AS BIGINT) * 1000000007 + 9007199254740993"
+
+
+@query(
+    "stat_whole_numbers",
+    "SELECT 'big' AS \"column\", unnest(['min', 'max', 'range', 'sum']) AS statistic, unnest([lo, hi, hi - lo, total]) AS value "
+    f"FROM (SELECT CAST(min({_WHOLE}) AS DECIMAL(38, 0)) AS lo, CAST(max({_WHOLE}) AS DECIMAL(38, 0)) AS hi, "
+    f"CAST(sum(CAST({_WHOLE} AS HUGEINT)) AS DECIMAL(38, 0)) AS total FROM lineitem)",
+)
+def _(t):
+    big = F.col("l_orderkey") * F.lit(1000000007) + F.lit(9007199254740993)
+    return statistics.whole_statistics(t.lineitem.select(big.alias("big")), ["big"])

@@ -213,3 +213,31 @@ def _(t):
 def _(t):
     shown = edit.select(_with_gaps(t), ["l_orderkey", "l_linenumber", "l_discount", "l_linestatus"])
     return edit.null_display(shown)
+
+
+@query(
+    "filter_narrow_numbers",
+    "SELECT 'above' AS test, count(*) FILTER (l_linenumber > 100000) AS row_count FROM lineitem UNION ALL "
+    "SELECT 'below', count(*) FILTER (l_linenumber < 100000) FROM lineitem UNION ALL "
+    "SELECT 'at_least', count(*) FILTER (l_linenumber >= -100000.5) FROM lineitem UNION ALL "
+    "SELECT 'at_most', count(*) FILTER (l_linenumber <= -100000.5) FROM lineitem UNION ALL "
+    "SELECT 'equal', count(*) FILTER (l_linenumber = 100000) FROM lineitem UNION ALL "
+    "SELECT 'not_equal', count(*) FILTER (l_linenumber <> 100000) FROM lineitem UNION ALL "
+    "SELECT 'edge', count(*) FILTER (l_linenumber < 32767.5) FROM lineitem",
+)
+def _(t):
+    narrow = t.lineitem.select(F.col("l_linenumber").cast("smallint").alias("x"))
+    tests = {
+        "above": (Op.GREATER, "100000"),
+        "below": (Op.LESS, "100000"),
+        "at_least": (Op.GREATER_EQUAL, "-100000.5"),
+        "at_most": (Op.LESS_EQUAL, "-100000.5"),
+        "equal": (Op.EQUAL, "100000"),
+        "not_equal": (Op.NOT_EQUAL, "100000"),
+        "edge": (Op.LESS, "32767.5"),
+    }
+    counts = []
+    for name, (op, value) in tests.items():
+        kept = flt.predicate([Filter("x", (Condition(op, value),))], narrow)
+        counts.append(F.count_if(kept).alias(name))
+    return narrow.agg(*counts).unpivot([], list(tests), "test", "row_count")

@@ -79,3 +79,13 @@ def _(t):
 def _(t):
     gaps = t.lineitem.withColumn("l_linestatus", F.nullif(F.col("l_linestatus"), F.lit("F")))
     return subtable(gaps, "l_linestatus", {"l_orderkey": "count"})
+
+
+@query(
+    "subtable_big_sum",
+    "SELECT l_returnflag, CAST(sum(CAST(l_orderkey AS HUGEINT) * 1000000000000) AS DECIMAL(38, 0)) AS big_sum "
+    "FROM lineitem GROUP BY l_returnflag",
+)
+def _(t):
+    big = t.lineitem.select("l_returnflag", (F.col("l_orderkey") * F.lit(10**12)).alias("big"))
+    return subtable(big, "l_returnflag", {"big": "sum"})

@@ -126,3 +126,13 @@ def _(t):
 @query("row_count", "SELECT count(*) AS row_count FROM lineitem")
 def _(t):
     return flt.filtered_count(t.lineitem, [])
+
+
+@query("pages_joined", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_returnflag = 'R'")
+def _(t):
+    """All pages of a table in an order with many equal rows: every row once."""
+    view = flt.apply(t.lineitem, [flt.equal("l_returnflag", "R")])
+    view = view.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    size = -(-view.count() // 4)
+    pages = [paging.page(view, [("l_quantity", True)], index, size) for index in range(4)]
+    return pages[0].unionAll(pages[1]).unionAll(pages[2]).unionAll(pages[3])

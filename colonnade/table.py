@@ -95,7 +95,7 @@ class Table:
 
     def add_filters(self, *filters: flt.Filter) -> Table:
         for item in filters:
-            self.column(item.column)
+            flt.check_allowed(item, self.kinds[self.column(item.column)])
         return replace(self, filters=(*self.filters, *filters))
 
     def above(self, column: int | str, threshold) -> Table:
