@@ -235,13 +235,10 @@ def _possible(rule: Rule, n: Column, place: Column, m: Column, other: Column) ->
     return sizes & rule.reachable(F.least(n - place, m - other), n, m)
 
 
-def _star(shared: DataFrame, labels: DataFrame | None, rule: Rule, leader: Column) -> DataFrame:
-    """Candidate pairs of every set with the leader of each shingle it shares, across components."""
-    if labels is not None:
-        shared = _labelled(shared, labels)
-    lead = shared.groupBy("shingle").agg(leader.alias("lead"))
-    met = shared.join(lead, "shingle")
-    if labels is not None:
+def _star(shared: DataFrame, rule: Rule, leader: Column) -> DataFrame:
+    """Candidate pairs of every set with the leader of each shingle it shares, across components if there are any."""
+    met = shared.join(shared.groupBy("shingle").agg(leader.alias("lead")), "shingle")
+    if "component" in shared.columns:
         met = met.where("component <> lead.component")
     met = met.where(F.col("class") != F.col("lead.class"))
     met = met.where(_possible(rule, F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place")))
@@ -250,12 +247,29 @@ def _star(shared: DataFrame, labels: DataFrame | None, rule: Rule, leader: Colum
     ).distinct()
 
 
+def _across(open_: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs of sets that share an early shingle and are in different components.
+
+    The shared shingles that leave room come first in the order of both sets, so their
+    number and what follows the last of them bound the overlap.
+    """
+    left = open_.select("shingle", F.col("class").alias("a"), F.col("n").alias("size_a"), F.col("place").alias("place_a"), F.col("component").alias("of_a"))
+    right = open_.select("shingle", F.col("class").alias("b"), F.col("n").alias("size_b"), F.col("place").alias("place_b"), F.col("component").alias("of_b"))
+    can = _possible(rule, F.col("size_a"), F.col("place_a"), F.col("size_b"), F.col("place_b"))
+    met = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & can)
+    pairs = met.groupBy("a", "b", "size_a", "size_b").agg(
+        F.count("*").alias("common"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b")
+    )
+    room = F.col("common") + F.least(F.col("size_a") - F.col("last_a"), F.col("size_b") - F.col("last_b")) - 1
+    return pairs.where(rule.reachable(room, F.col("size_a"), F.col("size_b"))).select("a", "b", "size_a", "size_b")
+
+
 def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Each entry with its set's component, in shingles that still join different components."""
     found = labels.select(F.col("node").alias("class"), "component")
-    out = shared.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    out = shared.drop("component").join(small_or_joined(found), "class", "left").withColumn("component", F.coalesce("component", "class"))
     split = out.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return out.join(split.select("shingle"), "shingle", "left_semi")
+    return written(out.join(split.select("shingle"), "shingle", "left_semi"), "shingle-open")
 
 
 def link_classes(join: Join) -> DataFrame:
@@ -268,25 +282,18 @@ def link_classes(join: Join) -> DataFrame:
     shared = written(shared.where("low <> high").drop("low", "high").distinct(), "shingle-entries")
 
     entry = ["class", "n", "place"]
-    links = written(join.verified(_star(shared, None, rule, F.min(F.struct(*entry)))), "links")
-    labels = components(links)
+    entry = ["class", "n", "place"]
+    links = written(join.verified(_star(shared, rule, F.min(F.struct(*entry)))), "links")
+    open_ = _labelled(shared, components(links))
     for k in range(STAR_ROUNDS):
         # Another leader in every shingle: a set is compared with many sets of its group.
         drawn = F.min_by(F.struct(*entry, "component"), F.xxhash64("class", "shingle", F.lit(k)))
-        more = written(join.verified(_star(shared, labels, rule, drawn)), "links")
+        more = written(join.verified(_star(open_, rule, drawn)), "links")
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        labels = components(links)
-
-    # What is left: sets of different components that share an early shingle.
-    open_ = written(_labelled(shared, labels), "shingle-open")
-    left = open_.select("shingle", F.col("class").alias("a"), F.col("n").alias("size_a"), F.col("place").alias("place_a"), F.col("component").alias("of_a"))
-    right = open_.select("shingle", F.col("class").alias("b"), F.col("n").alias("size_b"), F.col("place").alias("place_b"), F.col("component").alias("of_b"))
-    can = _possible(rule, F.col("size_a"), F.col("place_a"), F.col("size_b"), F.col("place_b"))
-    rest = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & can)
-    rest = join.verified(rest.select("a", "b", "size_a", "size_b").distinct())
-    return components(written(links.unionByName(rest), "links"))
+        open_ = _labelled(open_, components(links))
+    return components(written(links.unionByName(join.verified(_across(open_, rule))), "links"))
 
 
 def with_set_class(documents: DataFrame, name: str, width: int = WIDTH) -> DataFrame:
