@@ -9,8 +9,8 @@ its own, where only the two short segments meet, and the partial counts are summ
 
 Documents with equal sets are one class from the start. Within a group of near copies, it
 takes no more links than connect it: first every set is compared with one leader of each
-shingle it shares, then with drawn ones, and what is compared pair by pair in the end are
-only sets that share an early shingle and are still in different components.
+shingle it shares, and what is compared pair by pair then are only sets that share early
+shingles enough and are still in different components.
 """
 
 from __future__ import annotations
@@ -40,8 +40,6 @@ FRAGMENTS = 4
 #: Counters of the sketch that orders shingles by frequency, as a power of two, at most.
 #: It only shapes the order; any order gives the same links.
 SKETCH_BITS = 22
-#: Rounds at most in which sets are compared with drawn leaders, before the rest is compared pair by pair.
-STAR_ROUNDS = 1
 _SKETCH_PART = 1 << 16
 #: Stands for a missing document id in minima.
 _NO_ID = (1 << 63) - 1
@@ -180,18 +178,27 @@ def segments(documents: DataFrame, wanted: DataFrame, rare, width: int, bits: in
                 for f in range(fragments):
                     part = own[cut == f]
                     if len(part):
-                        rows.append((name, f, part.tobytes()))
+                        rows.append((name, f, _packed(part)))
             yield pd.DataFrame(rows, columns=["class", "fragment", "shingles"])
 
     return written(texts.mapInPandas(scan, SEGMENTS), "shingle-segments")
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    """The lower 48 bits of hashes: within two segments of one fragment they tell shingles apart."""
+    return shingles.astype("<u4").tobytes() + (shingles >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The partial overlap of each pair's two segments of one fragment."""
     for batch in batches:
         shared = [
-            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            for x, y in zip(batch["left"], batch["right"], strict=True)
+            len(np.intersect1d(_unpacked(x), _unpacked(y), assume_unique=True)) for x, y in zip(batch["left"], batch["right"], strict=True)
         ]
         yield batch[["a", "b", "size_a", "size_b", "fragment"]].assign(shared=shared)
 
@@ -235,11 +242,9 @@ def _possible(rule: Rule, n: Column, place: Column, m: Column, other: Column) ->
     return sizes & rule.reachable(F.least(n - place, m - other), n, m)
 
 
-def _star(shared: DataFrame, rule: Rule, leader: Column) -> DataFrame:
-    """Candidate pairs of every set with the leader of each shingle it shares, across components if there are any."""
-    met = shared.join(shared.groupBy("shingle").agg(leader.alias("lead")), "shingle")
-    if "component" in shared.columns:
-        met = met.where("component <> lead.component")
+def _star(shared: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs of every set with the leader of each shingle it shares, the same in most shingles of a group."""
+    met = shared.join(shared.groupBy("shingle").agg(F.min(F.struct("class", "n", "place")).alias("lead")), "shingle")
     met = met.where(F.col("class") != F.col("lead.class"))
     met = met.where(_possible(rule, F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place")))
     return met.select(
@@ -281,18 +286,8 @@ def link_classes(join: Join) -> DataFrame:
     shared = shared.withColumn("low", F.min("class").over(bucket)).withColumn("high", F.max("class").over(bucket))
     shared = written(shared.where("low <> high").drop("low", "high").distinct(), "shingle-entries")
 
-    entry = ["class", "n", "place"]
-    entry = ["class", "n", "place"]
-    links = written(join.verified(_star(shared, rule, F.min(F.struct(*entry)))), "links")
+    links = written(join.verified(_star(shared, rule)), "links")
     open_ = _labelled(shared, components(links))
-    for k in range(STAR_ROUNDS):
-        # Another leader in every shingle: a set is compared with many sets of its group.
-        drawn = F.min_by(F.struct(*entry, "component"), F.xxhash64("class", "shingle", F.lit(k)))
-        more = written(join.verified(_star(open_, rule, drawn)), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        open_ = _labelled(open_, components(links))
     return components(written(links.unionByName(join.verified(_across(open_, rule))), "links"))
 
 
