@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
+from collections.abc import Iterator
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +56,50 @@ def read_folder(spark: SparkSession, path: str, format: str = "parquet", **optio
     return df.select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
-def read_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """JSON objects, scalars as text for the vote. ``multiline`` for one array per file."""
-    return (
-        spark.read.option("primitivesAsString", True).option("multiLine", multiline).json(path)
-    )
+_CORRUPT = "__corrupt"
+
+
+def read_json(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """JSON objects, scalars as text for the vote.
+
+    Lines are read one by one, whatever the file's extension. Only if some line is no
+    JSON value by itself, files are read whole, one value each; a file with more than
+    one such value is refused. ``multiline`` settles which of the two and saves the look.
+    """
+    reader = spark.read.option("primitivesAsString", True).option("columnNameOfCorruptRecord", _CORRUPT)
+    if multiline is None:
+        lines = reader.json(path)
+        if _CORRUPT not in lines.columns:
+            return lines
+        _check_one_value(spark, path)
+    df = reader.option("multiLine", multiline is not False).json(path)
+    if _CORRUPT in df.columns:
+        raise UnreadableTable(f"{path} holds malformed JSON")
+    return df
+
+
+def _check_one_value(spark: SparkSession, path: str) -> None:
+    """Read whole, a file gives its first value only, so there must be no other."""
+
+    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = json.JSONDecoder()
+        for batch in batches:
+            found = []
+            for name, text in zip(batch["path"], batch["value"], strict=True):
+                try:
+                    start = len(text) - len(text.lstrip("\ufeff \t\r\n"))
+                    _, end = decoder.raw_decode(text, start)
+                except ValueError:
+                    found.append(name)
+                    continue
+                if text[end:].strip():
+                    found.append(name)
+            yield pd.DataFrame({"path": pd.Series(found, dtype=object)})
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    bad = whole.mapInPandas(several, "path string").orderBy("path").first()
+    if bad is not None:
+        raise UnreadableTable(f"{bad.path} is neither JSON lines nor one JSON value")
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -14,7 +15,7 @@ from colonnade.functions import casts
 from colonnade.operators.percolumn import aggregate_columns
 from colonnade.sources.files import base_name
 from colonnade.sources.sink import write_table
-from colonnade.sources.text import read_lenient, read_text_table
+from colonnade.sources.text import read_set_aside, read_text_table
 from colonnade.table import Table
 from colonnade.types import LogicalType, col
 
@@ -102,19 +103,34 @@ def ingest(
     sep: str | None = None,
     sensitivity: float = DEFAULT_SENSITIVITY,
     lenient_int: bool = False,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> Table:
     """Read delimited text, infer its types, write it as Parquet and open the result.
 
-    A file with malformed lines is read again leniently, without those lines.
+    Malformed lines are written to a table of their own beside the result, at
+    :func:`refused_path`, with a warning that tells their number.
     """
     try:
         # The vote reads every line, so a malformed one shows before the write.
         frame = typed(read_text_table(spark, path, sep, multiline), sensitivity, lenient_int)
+        refused = None
     except (PySparkException, Py4JJavaError) as error:
         if "MALFORMED" not in str(error):
             raise
-        lenient = read_lenient(spark, path, sep, multiline)
-        frame = typed(lenient, sensitivity, lenient_int)
+        good, refused = read_set_aside(spark, path, sep, multiline)
+        frame = typed(good, sensitivity, lenient_int)
     write_table(frame, out)
+    if refused is not None:
+        write_table(refused, refused_path(out))
+        warnings.warn(f"{refused_count(spark, out)} malformed lines of {path} are in {refused_path(out)}", stacklevel=2)
     return Table.open(spark, out, alias or base_name(path))
+
+
+def refused_path(out: str) -> str:
+    """Where the malformed lines of the table written to ``out`` are."""
+    return out.rstrip("/").removesuffix(".parquet") + "_refused.parquet"
+
+
+def refused_count(spark: SparkSession, out: str) -> int:
+    """How many lines were refused when the table at ``out`` was written with some."""
+    return spark.read.parquet(refused_path(out)).count()

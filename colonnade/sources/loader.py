@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from collections import Counter
 
 from pyspark.sql import SparkSession
 
@@ -12,39 +13,50 @@ from colonnade.sources.sink import write_table
 from colonnade.table import Table
 
 
-def _stored_as(path: str, target: str) -> str:
-    return posixpath.join(target.rstrip("/"), files.base_name(path) + ".parquet")
+def distinct_names(paths: list[str]) -> dict[str, str]:
+    """A name for each path: its stem, with the extension where others of its folder have that stem."""
+    stem = lambda path: (posixpath.dirname(path), files.base_name(path).lower())
+    times = Counter(stem(path) for path in paths)
+    return {p: files.base_name(p) + (f"_{files.extension(p)}" if times[stem(p)] > 1 else "") for p in paths}
 
 
-def load(spark: SparkSession, path: str, target: str, row_tag: str = "row", **options) -> list[Table]:
+def load(
+    spark: SparkSession, path: str, target: str, row_tag: str = "row", name: str | None = None, **options
+) -> list[Table]:
     """Open one file as a table, or all tables in a zip archive.
 
+    ``name`` is what the table is called and stored as, in place of the file's stem.
+
     Parquet opens in place; JSON, XML and any other extension (delimited text) are
     typed and written below ``target``.
     """
     kind = files.extension(path)
+    name = name or files.base_name(path)
     if kind == "zip":
-        inside = posixpath.join(target.rstrip("/"), files.base_name(path))
+        inside = posixpath.join(target.rstrip("/"), name)
         unpacked = bundle.unpack(spark, path, inside)
-        return [t for p in unpacked for t in load(spark, p, posixpath.dirname(p), row_tag, **options)]
+        names = distinct_names(unpacked)
+        return [t for p in unpacked for t in load(spark, p, posixpath.dirname(p), row_tag, names[p], **options)]
     if kind == "parquet":
         return [Table.open(spark, path)]
-    out = _stored_as(path, target)
+    out = posixpath.join(target.rstrip("/"), name + ".parquet")
     if kind in ("json", "jsonl", "ndjson"):
-        frame = typed(files.read_json(spark, path, multiline=kind == "json"))
+        frame = typed(files.read_json(spark, path))
     elif kind == "xml":
         frame = typed(files.read_xml(spark, path, row_tag))
     else:
-        return [ingest(spark, path, out, **options)]
+        return [ingest(spark, path, out, alias=name, **options)]
     write_table(frame, out)
-    return [Table.open(spark, out, files.base_name(path))]
+    return [Table.open(spark, out, name)]
 
 
 def load_folder(spark: SparkSession, folder: str, target: str, **options) -> list[Table]:
     """Every file below a folder as a table of its own, stored by its relative place."""
     tables = []
-    for path in files.table_paths(spark, folder):
-        tables += load(spark, path, posixpath.join(target.rstrip("/"), _place(path, folder)), **options)
+    paths = files.table_paths(spark, folder)
+    names = distinct_names(paths)
+    for path in paths:
+        tables += load(spark, path, posixpath.join(target.rstrip("/"), _place(path, folder)), name=names[path], **options)
     return tables
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import csv
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from colonnade.sources.files import UnreadableTable
 from colonnade.types import check_distinct_names, col
 
 # The cell texts that mean no value, and the delimiters looked for.
@@ -41,35 +45,98 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_text_table(
-    spark: SparkSession,
-    path: str,
-    sep: str | None = None,
-    multiline: bool = False,
-    mode: str = "FAILFAST",
-) -> DataFrame:
-    """A file or folder with a header line, every column as text.
+def broken_lines(spark: SparkSession, path: str) -> list[str]:
+    """The files with a line that holds an odd number of quotes: their cells may span lines.
 
-    Files are split across tasks. ``multiline`` allows line breaks inside quotes at
-    the price of one task per file.
+    One pass over the lines; the names are at most those of the listing Spark keeps.
     """
-    df = (
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = lines.where(quotes % 2 == 1).select("path").distinct().orderBy("path")
+    return [_plain_path(row["path"]) for row in found.collect()]
+
+
+def _plain_path(uri: str) -> str:
+    """A path as readers take it, from the one that scans report."""
+    return re.sub("^file:/+", "file:///", unquote(uri))
+
+
+def header(spark: SparkSession, path: str, sep: str) -> list[str]:
+    """The names in the header, checked before Spark renames equal ones."""
+    first = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').csv(path).first()
+    if first is None:
+        raise UnreadableTable(f"{path} is empty: there is no header")
+    names = [name for name in first if name is not None]
+    check_distinct_names(names)
+    return names
+
+
+def _read(spark: SparkSession, paths: list[str], sep: str, multiline: bool, options: dict, schema=None) -> DataFrame:
+    reader = (
         spark.read.option("header", True)
-        .option("sep", sep or delimiter_for(spark, path))
+        .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
-        .option("mode", mode)
         # A line is malformed or not whichever columns a query reads.
         .option("columnPruning", False)
-        .csv(path)
+        .options(**options)
     )
-    check_distinct_names(df.columns)
-    return blank_to_null(df)
+    return (reader.schema(schema) if schema is not None else reader).csv(paths)
+
+
+def _read_files(
+    spark: SparkSession, path: str, sep: str | None, multiline: bool | None, options: dict, schema=None
+) -> DataFrame:
+    sep = sep or delimiter_for(spark, path)
+    header(spark, path, sep)
+    if multiline is not None:
+        return _read(spark, [path], sep, multiline, options, schema)
+    whole = broken_lines(spark, path)
+    if not whole:
+        return _read(spark, [path], sep, False, options, schema)
+    others = sorted({_plain_path(name) for name in spark.read.text(path).inputFiles()} - set(whole))
+    if not others:
+        return _read(spark, whole, sep, True, options, schema)
+    split = _read(spark, others, sep, False, options, schema)
+    return split.unionByName(_read(spark, whole, sep, True, options, split.schema))
+
+
+def read_text_table(
+    spark: SparkSession,
+    path: str,
+    sep: str | None = None,
+    multiline: bool | None = None,
+    mode: str = "FAILFAST",
+) -> DataFrame:
+    """A file or folder with a header line, every column as text.
+
+    Files are split across tasks, but for those that need it: where a line holds an odd
+    number of quotes, cells may span lines, and such a file is read by one task. True or
+    False for ``multiline`` says so for all files and saves the look at the lines.
+    """
+    return blank_to_null(_read_files(spark, path, sep, multiline, {"mode": mode}))
+
+
+REFUSED = "__refused"
+
+
+def read_set_aside(
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The readable rows, and the refused ones: malformed lines whole in ``REFUSED``, beside what was read of them."""
+    sep = sep or delimiter_for(spark, path)
+    names = _read_files(spark, path, sep, False, {}).columns
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, REFUSED]])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REFUSED}
+    df = _read_files(spark, path, sep, multiline, options, schema)
+    # Spark refuses a scan of that column alone, so the condition names the others too.
+    df = df.where(F.length(F.concat_ws("", *[col(name) for name in names])) >= 0)
+    return blank_to_null(df.where(F.col(REFUSED).isNull()).drop(REFUSED)), df.where(F.col(REFUSED).isNotNull())
 
 
 def read_lenient(
-    spark: SparkSession, path: str, sep: str | None = None, multiline: bool = False
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None
 ) -> DataFrame:
     """As :func:`read_text_table`, but malformed lines are dropped, not refused."""
-    return read_text_table(spark, path, sep, multiline, mode="DROPMALFORMED")
+    return read_set_aside(spark, path, sep, multiline)[0]

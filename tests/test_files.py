@@ -189,3 +189,38 @@ def test_staging_folder_comes_from_the_session(spark):
         assert staging_dir(spark) == configured.rstrip("/")
     df = staged(spark.range(5).withColumn("x", F.col("id") * 2))
     assert sorted(values(df, "x")) == [0, 2, 4, 6, 8]
+
+
+@pytest.mark.parametrize(
+    "content",
+    ['{"a":1,"b":"x"}\n{"a":2,"b":"y"}\n{"a":3,"b":"z"}\n', '[{"a":1,"b":"x"},\n {"a":2,"b":"y"}]', '{"a":1,\n "b":"x"}', '[{"a":1,"b":"x"}]'],
+)
+def test_json_files_read_as_duckdb_reads_them(spark, tmp_path, content):
+    import duckdb
+
+    from colonnade.sources import files
+
+    path = tmp_path / "j.json"
+    path.write_text(content)
+    got = sorted((r.a, r.b) for r in files.read_json(spark, str(path)).collect())
+    want = duckdb.sql(f"SELECT a::VARCHAR, b FROM read_json('{path}')").fetchall()
+    assert got == sorted(want)
+
+
+def test_json_files_with_several_values_are_refused(spark, tmp_path):
+    from colonnade.sources import files
+
+    path = tmp_path / "j.json"
+    path.write_text('{"a":\n1}\n{"a":\n2}\n')
+    with pytest.raises(files.UnreadableTable):
+        files.read_json(spark, str(path))
+
+
+def test_equal_stems_of_a_folder_are_kept_apart(spark, tmp_path):
+    from colonnade.sources.loader import load_folder
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("x\n5\n")
+    (tmp_path / "in" / "a.tsv").write_text("y\tz\n7\t8\n")
+    tables = load_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert {t.alias: t.columns for t in tables} == {"a_csv": ["x"], "a_tsv": ["y", "z"]}

@@ -146,3 +146,51 @@ def test_generated_sizes(spark):
     assert df.columns == ["id", "name", "email", "age"]
     size = df.agg(F.sum(F.length(F.concat_ws(",", *df.columns)) + 1)).first()[0]
     assert abs(size - 200_000) < 10_000
+
+
+QUOTED = {
+    "first": 'a,b,c\n"x\ny",1,2\nplain,3,4\n',
+    "middle": 'a,b,c\n1,"hello\nworld",3\n2,plain,4\n3,"a,b",5\n',
+    "last": 'a,b,c\n1,2,"end\nof"\n3,4,"q""uote"\n',
+    "halves": 'a,b\n1,"x\ny,2"\n3,4\n',
+    "none": 'a,b\n1,"x,y"\n3,"say ""hi"""\n',
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUOTED))
+def test_quoted_line_breaks_read_as_duckdb_reads_them(spark, tmp_path, name):
+    import duckdb
+
+    path = write(tmp_path / f"{name}.csv", QUOTED[name])
+    got = sorted(tuple(r) for r in text.read_text_table(spark, path, sep=",").collect())
+    want = duckdb.sql(f"SELECT * FROM read_csv('{path}', all_varchar=true, header=true, delim=',')").fetchall()
+    assert got == sorted(want)
+    assert (text.broken_lines(spark, path) == []) == (name == "none")
+
+
+def test_only_files_with_broken_lines_are_read_whole(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d" / "a.csv", 'a,b\n1,"x\ny"\n')
+    write(tmp_path / "d" / "b.csv", "a,b\n2,z\n")
+    got = text.read_text_table(spark, str(tmp_path / "d"), sep=",")
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "x\ny"), ("2", "z")]
+
+
+def test_refused_lines_are_kept_and_counted(spark, tmp_path):
+    path = write(tmp_path / "bad.csv", "a,b\n1,x\n2\n3,z,extra\n4,w\n")
+    out = str(tmp_path / "kept.parquet")
+    with pytest.warns(UserWarning, match="2 malformed lines"):
+        table = ingest.ingest(spark, path, out)
+    assert sorted(values(table.df, "a")) == [1, 4]
+    assert ingest.refused_count(spark, out) == 2
+    refused = spark.read.parquet(ingest.refused_path(out))
+    assert sorted(values(refused, text.REFUSED)) == ["2", "3,z,extra"]
+
+
+def test_empty_files_and_clashing_headers_are_refused(spark, tmp_path):
+    from colonnade.sources.files import UnreadableTable
+
+    with pytest.raises(UnreadableTable):
+        text.read_text_table(spark, write(tmp_path / "empty.csv", ""), sep=",")
+    with pytest.raises(ValueError, match="differ only in case"):
+        text.read_text_table(spark, write(tmp_path / "clash.csv", "a,A,b\n1,2,3\n"), sep=",")
