@@ -31,7 +31,7 @@ CUT = 0.7
 #: Toxic training documents that a word's sign must occur in, and its least log odds.
 SIGN_DOCUMENTS, SIGN_ODDS = 3, 1.5
 #: Words whose value a worker remembers; it starts anew beyond.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 # Letters that a character may stand for.
 READINGS = {
@@ -148,16 +148,17 @@ def suspicious(word: str) -> bool:
 
 @dataclass
 class Reader:
-    """Restores words, remembering those it has seen."""
+    """Restores words, remembering up to ``remembered`` of those it has seen."""
 
     model: list
+    remembered: int = CACHED_WORDS
     memory: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def words(self, token: str) -> tuple[str, ...]:
         """The restored words of one lower-case token of a text."""
         found = self.memory.get(token)
         if found is None:
-            if len(self.memory) > CACHED_WORDS:
+            if len(self.memory) > self.remembered:
                 self.memory.clear()
             word = bare(token)
             if word.isalpha() and not _RUN.search(word):
@@ -212,7 +213,7 @@ class Scorer:
     """Values of tokens and features of documents, in one worker."""
 
     def __init__(self, model: Model):
-        self.model, self.read, self.values = model, Reader(model.letters), {}
+        self.model, self.read, self.values = model, Reader(model.letters, 0), {}  # values are remembered instead
 
     def value(self, token: str) -> float:
         found = self.values.get(token)
