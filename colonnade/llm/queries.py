@@ -44,6 +44,33 @@ def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents")).drop("set_class")
 
 
+OP4_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda w: w <> '') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM texts
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Write the archives, index them, look every page's address up, and read the records."""
     pages = table(spark, folder, "pages")
@@ -132,7 +159,7 @@ FROM turns GROUP BY conv_id
 """
 
 _QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_jaccard": op4_jaccard, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_html": op9_html, "op10_chat": op10_chat}
-_SQL = {"op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL}
+_SQL = {"op4_jaccard": OP4_SQL, "op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL}
 
 
 def queries() -> dict[str, Query]:
