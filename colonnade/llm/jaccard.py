@@ -40,6 +40,8 @@ FRAGMENTS = 4
 #: Counters of the sketch that orders shingles by frequency, as a power of two, at most.
 #: It only shapes the order; any order gives the same links.
 SKETCH_BITS = 22
+#: Candidate pairs (some 30 bytes each) that are broadcast to their segments at most; more are joined.
+BROADCAST_PAIRS = 500_000
 _SKETCH_PART = 1 << 16
 #: Stands for a missing document id in minima.
 _NO_ID = (1 << 63) - 1
@@ -158,7 +160,8 @@ def entries(documents: DataFrame, rare, width: int, bits: int, rule: Rule) -> Da
 def segments(documents: DataFrame, wanted: DataFrame, rare, width: int, bits: int, fragments: int) -> DataFrame:
     """The sets of the classes in ``wanted`` (class, doc_id of one member), cut into fragments.
 
-    A class comes again for each further row with that doc_id and its set.
+    The first fragment comes for every set, the others where they hold something. A class
+    comes again for each further row with that doc_id and its set.
     """
     ids = wanted.select("doc_id")
     texts = _texts(documents).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
@@ -177,7 +180,7 @@ def segments(documents: DataFrame, wanted: DataFrame, rare, width: int, bits: in
                 own, cut = shingles[bounds[i] : bounds[i + 1]], fragment[bounds[i] : bounds[i + 1]]
                 for f in range(fragments):
                     part = own[cut == f]
-                    if len(part):
+                    if len(part) or f == 0:
                         rows.append((name, f, _packed(part)))
             yield pd.DataFrame(rows, columns=["class", "fragment", "shingles"])
 
@@ -194,13 +197,28 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The partial overlap of each pair's two segments of one fragment."""
-    for batch in batches:
-        shared = [
-            len(np.intersect1d(_unpacked(x), _unpacked(y), assume_unique=True)) for x, y in zip(batch["left"], batch["right"], strict=True)
-        ]
-        yield batch[["a", "b", "size_a", "size_b", "fragment"]].assign(shared=shared)
+_PAIR = ["a", "b", "size_a", "size_b"]
+
+
+def _partial_overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
+    """For every pair and fragment that both have, the overlap of the two segments and their sizes.
+
+    Few pairs are sent to the segments of their left sets; what moves is a left segment
+    per pair and each right segment once.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left, right = [_unpacked(x) for x in batch["left"]], [_unpacked(x) for x in batch["right"]]
+            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
+            yield batch[[*_PAIR, "fragment"]].assign(shared=shared, seen_a=[len(x) for x in left], seen_b=[len(x) for x in right])
+
+    left = cut.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("left"))
+    right = cut.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("right"))
+    met = left.join(small_or_joined(pairs.select(*_PAIR), BROADCAST_PAIRS), "a").join(right, ["b", "fragment"])
+    schema = "a long, b long, size_a int, size_b int, fragment int, shared long, seen_a long, seen_b long"
+    # Rows of one id and set bring a segment again, with the same count.
+    return met.select(*_PAIR, "fragment", "left", "right").mapInPandas(count, schema).distinct()
 
 
 @dataclass(frozen=True)
@@ -226,14 +244,14 @@ class Join:
         asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         wanted = written(self.members.join(asked, "class", "left_semi"), "shingle-classes")
         cut = segments(self.documents, wanted, self.rare, self.width, self.bits, self.fragments)
-        left = cut.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("left"))
-        right = cut.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("right"))
-        met = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "size_a", "size_b", "fragment", "left", "right")
-        partial = met.mapInPandas(_overlaps, "a long, b long, size_a int, size_b int, fragment int, shared long")
-        pair = ["a", "b", "size_a", "size_b"]
-        # Rows of one id and set bring a segment again, with the same count.
-        total = partial.groupBy(*pair, "fragment").agg(F.max("shared").alias("shared")).groupBy(*pair).agg(F.sum("shared").alias("shared"))
-        return total.where(self.rule.reachable(F.col("shared"), F.col("size_a"), F.col("size_b"))).select("a", "b")
+        size_a, size_b = F.col("size_a"), F.col("size_b")
+        # The first fragment's count already rules out most pairs that are not similar.
+        first = _partial_overlaps(pairs, cut.where("fragment = 0"))
+        room = F.col("shared") + F.least(size_a - F.col("seen_a"), size_b - F.col("seen_b"))
+        left = written(first.where(self.rule.reachable(room, size_a, size_b)).select(*_PAIR, "shared"), "shingle-left")
+        rest = _partial_overlaps(left, cut.where("fragment > 0")).select(*_PAIR, "shared")
+        total = left.unionByName(rest).groupBy(*_PAIR).agg(F.sum("shared").alias("shared"))
+        return total.where(self.rule.reachable(F.col("shared"), size_a, size_b)).select("a", "b")
 
 
 def _possible(rule: Rule, n: Column, place: Column, m: Column, other: Column) -> Column:
