@@ -117,7 +117,9 @@ def rarity(profiled: DataFrame, bits: int) -> np.ndarray:
     size = min(1 << bits, _SKETCH_PART)
     for row in parts:
         level[row.part * size : (row.part + 1) * size] = np.frombuffer(row.level, dtype=np.uint8)
-    ordinary = math.ceil(4 * math.log2(4 * sum(r.total for r in parts) / (1 << bits) + 16))
+    # What a slot gathers by chance: the mean and a good margin of its spread.
+    mean = sum(r.total for r in parts) / (1 << bits)
+    ordinary = math.ceil(4 * math.log2(mean + 6 * math.sqrt(mean) + 8))
     return np.where(level > ordinary, (level - ordinary + 3) // 4, 0).astype(np.uint8)
 
 
