@@ -2,7 +2,9 @@
 
 A document is contaminated by a benchmark item if some stretch of it is within a share of
 edits of a passage of the item (both in plain form: lower case, only letters and digits,
-single spaces; items up to twice ``PASSAGE_CHARS`` are one passage). A passage within ``k``
+single spaces). Passages are equal cuts of the item, an item up to twice ``PASSAGE_CHARS``
+whole, and overlapping windows, so that any quote of 110 plain characters holds one but for
+fewer characters than may be edited. A passage within ``k``
 edits of a stretch, cut into ``k + 1`` pieces, has at least one piece unedited. So all
 pieces of all items are searched exactly in one pass over each document. Where one hits,
 Myers' bit-parallel distance is worked out over windows that grow by halves of the passage:
@@ -28,6 +30,8 @@ MIN_CHARS = 40
 #: Longer items are searched passage by passage, each of at least so many plain characters,
 #: so that a document that quotes a good part of an item is found too.
 PASSAGE_CHARS = 100
+#: Windows of so many characters start at every multiple of this in an item.
+STRIDE = 25
 #: Items whose pieces are searched in one pass; more items take more passes.
 ITEMS_PER_PASS = 20_000
 
@@ -84,10 +88,12 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 
 
 def passages(text: str, size: int = PASSAGE_CHARS) -> list[str]:
-    """A long item's text in equal passages of at least ``size`` characters; a short one whole."""
+    """A long item's text in equal passages of at least ``size`` characters, a short one whole; and all windows of ``size`` characters."""
     n = max(1, len(text) // size)
     cuts = [len(text) * i // n for i in range(n + 1)]
-    return [text[a:b].strip() for a, b in zip(cuts, cuts[1:], strict=False)]
+    starts = [*range(0, len(text) - size, STRIDE), len(text) - size] if len(text) > size else []
+    windows = [text[a : a + size].strip() for a in starts]
+    return list(dict.fromkeys([text[a:b].strip() for a, b in zip(cuts, cuts[1:], strict=False)] + windows))
 
 
 def _chain(leaf: int, cuts: list[int]) -> list[tuple[int, int, int]]:

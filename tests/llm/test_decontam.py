@@ -48,6 +48,16 @@ def test_finds_copies_edits_and_quotes(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - {10, 11}
 
 
+def test_quotes_across_the_cuts_are_found():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    for size in (150, 170, 199, 200, 260, 299, 450):
+        item = decontam.plain(" ".join(word() for _ in range(size))[:size])
+        matcher = decontam.Matcher([(1, item)])
+        for quote in [item[a : a + 110] for a in range(len(item) - 109)]:
+            assert 1 in matcher.matches(decontam.plain(f"{word()} {quote} {word()}")), (size, quote)
+
+
 def test_many_passes_give_the_same(spark):
     docs = documents(spark, [(1, ITEM), (2, ITEM[::-1])])
     bench = spark.createDataFrame([(0, ITEM), (1, ITEM[::-1]), (2, "q" * 60)], "item_id long, text string")
