@@ -14,11 +14,13 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, a local one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return configured.rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
