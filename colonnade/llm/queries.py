@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, decontam, html, jaccard, lm, packing, pii, search, toxicity, warc
-from colonnade.llm.shared import table
+from colonnade.llm import chat, curriculum, decontam, html, jaccard, lm, packing, pii, search, toxicity, warc
+from colonnade.llm.shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,8 +158,59 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_jaccard": op4_jaccard, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_html": op9_html, "op10_chat": op10_chat}
-_SQL = {"op4_jaccard": OP4_SQL, "op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL}
+
+def op11_curriculum(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents by the training position of their first copy, those that the mix does not take last."""
+    documents = written(curriculum.sized(table(spark, folder, "documents").select("doc_id", "source", "text")).drop("text"), "mix-sizes")
+    assigned = curriculum.assign(documents, curriculum.ranked_schedules(documents, (1, 2, 3)))
+    first = F.get("copies", F.lit(0))["position"].alias("first_position")
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken")
+    made = assigned.select("doc_id", "size", "source_size", "target", taken, F.size("copies").alias("n_copies"), first, "__key")
+    return made.orderBy(F.col("first_position").asc_nulls_last(), "__key").drop("__key")
+
+
+OP11_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank,
+    (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS weight
+  FROM sized GROUP BY source
+), queued AS (
+  SELECT *, 3.0::DOUBLE * source_size AS bound, sum(source_size) OVER ()::DOUBLE AS total,
+    sum(3.0::DOUBLE * source_size) OVER before AS passed, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS rest
+  FROM sources
+  WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), judged AS (
+  SELECT *, bound * rest <= weight * (total - coalesce(passed, 0)) AS full_ FROM queued
+), aimed AS (
+  SELECT *, CASE WHEN full_ THEN bound ELSE weight * (total - coalesce(sum(bound) FILTER (full_) OVER (), 0))
+    / sum(weight) FILTER (NOT full_) OVER () END AS target
+  FROM judged
+), streamed AS (
+  SELECT s.*, a.source_size, a.weight, a.target, a.rank,
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
+), counted AS (
+  SELECT *, list_transform([0, 1, 2], lambda e: greatest(0, least(size, floor(target)::BIGINT - (e * source_size + start)))) AS parts
+  FROM streamed
+), placed AS (
+  SELECT *, list_position(list_transform(parts, lambda n: n > 0), true) AS nth, CASE WHEN target > 0 THEN start * weight / target END AS demand
+  FROM counted
+)
+SELECT doc_id, size, source_size, target, list_sum(parts)::BIGINT AS taken, len(list_filter(parts, lambda n: n > 0))::INT AS n_copies,
+  CASE WHEN nth IS NULL THEN NULL
+    WHEN rank % 2 = 1 AND demand < 0.25 * weight THEN 2.0 * demand / (0.5 * weight + sqrt(0.25 * weight * weight))
+    WHEN rank % 2 = 1 THEN 0.5 + 2.0 * (demand - 0.25 * weight) / (0.5 * weight + sqrt(0.25 * weight * weight + 8.0 * weight * (demand - 0.25 * weight)))
+    WHEN demand < 0.75 * weight THEN 2.0 * demand / (2.5 * weight + sqrt(6.25 * weight * weight - 8.0 * weight * demand))
+    ELSE 0.5 + 2.0 * (demand - 0.75 * weight) / (0.5 * weight + sqrt(0.25 * weight * weight)) END AS first_position
+FROM placed
+"""
+
+_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_jaccard": op4_jaccard, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_html": op9_html, "op10_chat": op10_chat, "op11_curriculum": op11_curriculum}
+_SQL = {"op4_jaccard": OP4_SQL, "op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL, "op11_curriculum": OP11_SQL}
 
 
 def queries() -> dict[str, Query]:
