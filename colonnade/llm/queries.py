@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, curriculum, decontam, html, jaccard, lm, packing, pii, search, toxicity, warc
+from colonnade.llm import chat, curriculum, decontam, html, jaccard, lm, packing, periodic, pii, search, toxicity, variants, warc
 from colonnade.llm.shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,7 +171,8 @@ def op11_curriculum(spark: SparkSession, folder: str) -> DataFrame:
 
 OP11_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
     md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents
 ), sources AS (
@@ -209,7 +210,56 @@ SELECT doc_id, size, source_size, target, list_sum(parts)::BIGINT AS taken, len(
 FROM placed
 """
 
-_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_jaccard": op4_jaccard, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_html": op9_html, "op10_chat": op10_chat, "op11_curriculum": op11_curriculum}
+
+def with_planted_periods(documents: DataFrame) -> DataFrame:
+    """The documents of the query: in about every tenth, by its id, the end of the text repeats a stretch of words."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    own = documents.withColumns({"__h": hashed, "__words": F.when(hashed % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))})
+    g, n = F.floor(F.col("__h") / 10), F.size("__words").cast("long")
+    begin = F.pmod(g, n)
+    period = F.lit(1) + F.floor((n - begin) / (g % 8 + 3))
+    shaped = own.withColumns({"__a": F.when(F.size("__words") > 0, begin)}).withColumns({"__p": F.when(F.col("__a").isNotNull(), period)})
+    a, p = F.col("__a").cast("int"), F.col("__p").cast("int")
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    again = F.transform(F.sequence(F.lit(0), F.size("__words") - 1), lambda i: F.get("__words", place(i)))
+    return shaped.select("doc_id", F.when(F.col("__a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.find(with_planted_periods(table(spark, folder, "documents").select("doc_id", "text")))
+    # The longest run; of equally long ones the first, then that with the smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+
+def with_planted_slips(occurrences: DataFrame) -> DataFrame:
+    """The words of the query: of about every 31st, by its document and spelling, one letter is left out."""
+    hashed = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("word")))
+    at = (hashed % F.length("word")).cast("int")
+    slip = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    slips = F.col("doc_id").isNotNull() & (hashed % 31 == 0)
+    return occurrences.select(F.when(slips, slip).otherwise(F.col("word")).alias("word"))
+
+
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    occurrences = variants.words(table(spark, folder, "documents"))
+    vocabulary = written(variants.vocabulary(with_planted_slips(occurrences)), "vocabulary")
+    return variants.group(vocabulary).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+_QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_jaccard": op4_jaccard, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_lm": op8_lm, "op9_html": op9_html, "op10_chat": op10_chat, "op11_curriculum": op11_curriculum, "op12_periodic": op12_periodic, "op13_variants": op13_variants}
 _SQL = {"op4_jaccard": OP4_SQL, "op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op10_chat": OP10_SQL, "op11_curriculum": OP11_SQL}
 
 
