@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from colonnade.functions import casts
 from colonnade.operators.percolumn import aggregate_columns
 from colonnade.sources.files import base_name
 from colonnade.sources.sink import write_table
-from colonnade.sources.text import read_set_aside, read_text_table
+from colonnade.sources.text import NULL_TEXTS, REFUSED, split_refused, with_refused
 from colonnade.table import Table
 from colonnade.types import LogicalType, col
 
@@ -58,11 +56,13 @@ def vote(
     of the present values wins; a column with none stays text. One scan.
     """
     names = list(df.columns if columns is None else columns)
-    counts = aggregate_columns(
-        df, {name: col(name) for name in names}, lambda text: _votes(text, lenient_int)
-    )
-    votes = counts.fillna(0)
-    return votes.withColumn("logical_type", _winner(sensitivity))
+    return vote_cells(df, {name: col(name) for name in names}, sensitivity, lenient_int)
+
+
+def vote_cells(df: DataFrame, cells: Mapping[str, Column], sensitivity: float, lenient_int: bool) -> DataFrame:
+    """:func:`vote` on any text expressions of a frame, by their names."""
+    counts = aggregate_columns(df, cells, lambda text: _votes(text, lenient_int))
+    return counts.fillna(0).withColumn("logical_type", _winner(sensitivity))
 
 
 def voted_types(votes: DataFrame) -> dict[str, LogicalType]:
@@ -104,25 +104,26 @@ def ingest(
     sensitivity: float = DEFAULT_SENSITIVITY,
     lenient_int: bool = False,
     multiline: bool | None = None,
+    encoding: str | None = None,
 ) -> Table:
     """Read delimited text, infer its types, write it as Parquet and open the result.
 
     Malformed lines are written to a table of their own beside the result, at
-    :func:`refused_path`, with a warning that tells their number.
+    :func:`refused_path`, with a warning that tells their number. The file is read three
+    times: for its dialect, for the vote, which also counts the malformed lines, and for the write.
     """
-    try:
-        # The vote reads every line, so a malformed one shows before the write.
-        frame = typed(read_text_table(spark, path, sep, multiline), sensitivity, lenient_int)
-        refused = None
-    except (PySparkException, Py4JJavaError) as error:
-        if "MALFORMED" not in str(error):
-            raise
-        good, refused = read_set_aside(spark, path, sep, multiline)
-        frame = typed(good, sensitivity, lenient_int)
-    write_table(frame, out)
-    if refused is not None:
+    rows = with_refused(spark, path, sep, multiline, encoding)
+    good, refused = split_refused(rows)
+    # The cells of refused rows do not vote; their lines count as one more column.
+    readable = F.col(REFUSED).isNull()
+    ballots = {name: F.when(readable & ~col(name).isin(*NULL_TEXTS), col(name)) for name in good.columns}
+    votes = vote_cells(rows, ballots | {REFUSED: F.col(REFUSED)}, sensitivity, lenient_int).collect()
+    kinds = {row["column"]: LogicalType(row["logical_type"]) for row in votes}
+    write_table(cast_table(good, {name: kinds[name] for name in good.columns}, lenient_int), out)
+    lost = next(row["non_null"] for row in votes if row["column"] == REFUSED)
+    if lost:
         write_table(refused, refused_path(out))
-        warnings.warn(f"{refused_count(spark, out)} malformed lines of {path} are in {refused_path(out)}", stacklevel=2)
+        warnings.warn(f"{lost} malformed lines of {path} are in {refused_path(out)}", stacklevel=2)
     return Table.open(spark, out, alias or base_name(path))
 
 

@@ -2,40 +2,49 @@
 
 from __future__ import annotations
 
-import csv
-import re
-from urllib.parse import unquote
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.sources.files import UnreadableTable
-from colonnade.types import check_distinct_names, col
+from colonnade.sources.dialect import DELIMITERS, QUOTE, SINGLE_BYTE, Dialect, plain_path, survey
+from colonnade.sources.records import first_record, records
+from colonnade.types import check_distinct_names, col, quoted
 
-# The cell texts that mean no value, and the delimiters looked for.
+__all__ = ["DELIMITERS", "NULL_TEXTS", "REFUSED", "blank_to_null", "dialect_of", "header", "read_lenient", "read_set_aside", "read_text_table"]
+
+# The cell texts that mean no value.
 NULL_TEXTS = ("", " ")
-DELIMITERS = (",", ";", "\t", "|")
-_SNIFF_LINES = 20
+#: The column of lines that were refused.
+REFUSED = "__refused"
+
 
+def dialect_of(
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None, encoding: str | None = None
+) -> Dialect:
+    """The dialect of a file or folder: what is given, and for the rest what one pass over all lines shows.
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that splits the first lines most evenly and most finely."""
-    head = [row["value"] for row in spark.read.text(path).limit(_SNIFF_LINES).collect()]
-    lines = [line for line in head if line.strip()]
-    best, best_score = DELIMITERS[0], (0.0, 0)
-    for delimiter in DELIMITERS:
-        widths = [len(row) for row in csv.reader(lines, delimiter=delimiter)]
-        if not widths or widths[0] < 2:
-            continue
-        same = sum(width == widths[0] for width in widths) / len(widths)
-        if (same, widths[0]) > best_score:
-            best, best_score = delimiter, (same, widths[0])
-    return best
+    ``multiline`` True or False says of all files whether cells may span lines; ``encoding``
+    is that of all files, UTF-8 or ISO-8859-1. A file named ``.tsv`` is split at tabs.
+    """
+    if encoding is not None and encoding.upper() not in ("UTF-8", SINGLE_BYTE):
+        raise ValueError(f"the encoding must be UTF-8 or {SINGLE_BYTE}, not {encoding!r}")
+    sep = sep or ("\t" if path.lower().endswith(".tsv") else None)
+    found = Dialect(",") if sep and multiline is not None and encoding is not None else survey(spark, path)
+    if sep:
+        found = replace(found, sep=sep)
+    every = lambda yes: _files(spark, path) if yes else ()
+    if multiline is not None:
+        found = replace(found, broken=every(multiline))
+    if encoding is not None:
+        found = replace(found, other_bytes=every(encoding.upper() == SINGLE_BYTE))
+    return found
 
 
-def delimiter_for(spark: SparkSession, path: str) -> str:
-    return "\t" if path.lower().endswith(".tsv") else sniff_delimiter(spark, path)
+def _files(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The names in the listing that Spark keeps for the scan."""
+    return tuple(sorted(plain_path(name) for name in spark.read.text(path).inputFiles()))
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:
@@ -45,61 +54,41 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def broken_lines(spark: SparkSession, path: str) -> list[str]:
-    """The files with a line that holds an odd number of quotes: their cells may span lines.
-
-    One pass over the lines; the names are at most those of the listing Spark keeps.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    found = lines.where(quotes % 2 == 1).select("path").distinct().orderBy("path")
-    return [_plain_path(row["path"]) for row in found.collect()]
-
-
-def _plain_path(uri: str) -> str:
-    """A path as readers take it, from the one that scans report."""
-    return re.sub("^file:/+", "file:///", unquote(uri))
-
-
-def header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    """The names in the header, checked before Spark renames equal ones."""
-    first = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').csv(path).first()
-    if first is None:
-        raise UnreadableTable(f"{path} is empty: there is no header")
-    names = [name for name in first if name is not None]
-    check_distinct_names(names)
-    return names
-
-
-def _read(spark: SparkSession, paths: list[str], sep: str, multiline: bool, options: dict, schema=None) -> DataFrame:
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        # A line is malformed or not whichever columns a query reads.
-        .option("columnPruning", False)
-        .options(**options)
-    )
-    return (reader.schema(schema) if schema is not None else reader).csv(paths)
-
-
-def _read_files(
-    spark: SparkSession, path: str, sep: str | None, multiline: bool | None, options: dict, schema=None
-) -> DataFrame:
-    sep = sep or delimiter_for(spark, path)
-    header(spark, path, sep)
-    if multiline is not None:
-        return _read(spark, [path], sep, multiline, options, schema)
-    whole = broken_lines(spark, path)
-    if not whole:
-        return _read(spark, [path], sep, False, options, schema)
-    others = sorted({_plain_path(name) for name in spark.read.text(path).inputFiles()} - set(whole))
-    if not others:
-        return _read(spark, whole, sep, True, options, schema)
-    split = _read(spark, others, sep, False, options, schema)
-    return split.unionByName(_read(spark, whole, sep, True, options, split.schema))
+def header(spark: SparkSession, path: str, found: Dialect) -> list[str]:
+    """The names in the header of the first file by name, checked before Spark renames equal ones."""
+    first, *_ = _files(spark, path) or (path,)
+    names = first_record(spark, first, SINGLE_BYTE if first in found.other_bytes else None, found.sep)
+    check_distinct_names([name for name in names if name])
+    return [name or f"_c{i}" for i, name in enumerate(names)]
+
+
+def _read(spark: SparkSession, path: str, found: Dialect, mode: str, names: list[str]) -> DataFrame:
+    """All files, split over tasks, every column as text, with ``REFUSED`` in the permissive mode."""
+    kept = [*names, REFUSED] if mode == "PERMISSIVE" else names
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in kept])
+    options = {"sep": found.sep, "quote": QUOTE, "escape": QUOTE, "mode": mode, "columnNameOfCorruptRecord": REFUSED}
+    every = set(_files(spark, path)) if found.broken or found.other_bytes else None
+    parts = []
+    for encoding in (None, SINGLE_BYTE):
+        for spans in (False, True):
+            if every is None:
+                paths = [] if encoding or spans else [path]
+            else:
+                paths = sorted(name for name in every if (name in found.broken) == spans and (name in found.other_bytes) == bool(encoding))
+            if not paths:
+                continue
+            if spans:
+                rows = records(spark, paths, found.sep, encoding)
+                fields = ", ".join(f"{quoted(name)} string" for name in kept)
+                parts.append(rows.select(F.from_csv("record", fields, options).alias("cells")).select("cells.*"))
+            else:
+                # A line is malformed or not whichever columns a query reads.
+                reader = spark.read.option("header", True).option("columnPruning", False).options(**options)
+                parts.append(reader.option("encoding", encoding or "UTF-8").schema(schema).csv(paths))
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionAll(part)
+    return df
 
 
 def read_text_table(
@@ -108,35 +97,42 @@ def read_text_table(
     sep: str | None = None,
     multiline: bool | None = None,
     mode: str = "FAILFAST",
+    encoding: str | None = None,
 ) -> DataFrame:
     """A file or folder with a header line, every column as text.
 
-    Files are split across tasks, but for those that need it: where a line holds an odd
-    number of quotes, cells may span lines, and such a file is read by one task. True or
-    False for ``multiline`` says so for all files and saves the look at the lines.
+    Files are split over tasks, also those whose quoted cells span lines. What is not given
+    is found out by one pass over all lines, see :func:`dialect_of`.
     """
-    return blank_to_null(_read_files(spark, path, sep, multiline, {"mode": mode}))
+    found = dialect_of(spark, path, sep, multiline, encoding)
+    return blank_to_null(_read(spark, path, found, mode, header(spark, path, found)))
 
 
-REFUSED = "__refused"
+def with_refused(
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None, encoding: str | None = None
+) -> DataFrame:
+    """All rows; of a refused one ``REFUSED`` holds the line and the other columns what was read of it."""
+    found = dialect_of(spark, path, sep, multiline, encoding)
+    names = header(spark, path, found)
+    df = _read(spark, path, found, "PERMISSIVE", names)
+    # Spark refuses a scan of that column alone, so a condition names the others too.
+    return df.where(F.length(F.concat_ws("", *[col(name) for name in names])) >= 0)
+
+
+def split_refused(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The readable rows and the refused ones of :func:`with_refused`."""
+    return blank_to_null(df.where(F.col(REFUSED).isNull()).drop(REFUSED)), df.where(F.col(REFUSED).isNotNull())
 
 
 def read_set_aside(
-    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None, encoding: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The readable rows, and the refused ones: malformed lines whole in ``REFUSED``, beside what was read of them."""
-    sep = sep or delimiter_for(spark, path)
-    names = _read_files(spark, path, sep, False, {}).columns
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, REFUSED]])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REFUSED}
-    df = _read_files(spark, path, sep, multiline, options, schema)
-    # Spark refuses a scan of that column alone, so the condition names the others too.
-    df = df.where(F.length(F.concat_ws("", *[col(name) for name in names])) >= 0)
-    return blank_to_null(df.where(F.col(REFUSED).isNull()).drop(REFUSED)), df.where(F.col(REFUSED).isNotNull())
+    return split_refused(with_refused(spark, path, sep, multiline, encoding))
 
 
 def read_lenient(
-    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None, encoding: str | None = None
 ) -> DataFrame:
     """As :func:`read_text_table`, but malformed lines are dropped, not refused."""
-    return read_set_aside(spark, path, sep, multiline)[0]
+    return read_set_aside(spark, path, sep, multiline, encoding)[0]

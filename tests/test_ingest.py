@@ -165,7 +165,7 @@ def test_quoted_line_breaks_read_as_duckdb_reads_them(spark, tmp_path, name):
     got = sorted(tuple(r) for r in text.read_text_table(spark, path, sep=",").collect())
     want = duckdb.sql(f"SELECT * FROM read_csv('{path}', all_varchar=true, header=true, delim=',')").fetchall()
     assert got == sorted(want)
-    assert (text.broken_lines(spark, path) == []) == (name == "none")
+    assert (text.dialect_of(spark, path).broken == ()) == (name == "none")
 
 
 def test_only_files_with_broken_lines_are_read_whole(spark, tmp_path):
