@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from colonnade.functions import casts
 from colonnade.operators import filters as flt
 from colonnade.operators.ordered import PLACE, Order, file_slice, with_place
-from colonnade.operators.paging import TOP_ROWS, rows
+from colonnade.operators.paging import rows
 from colonnade.types import LogicalType, check_distinct_names, classify, col, field_type
 
 NULL_MARK = "(null)"
@@ -119,7 +119,7 @@ def update_cell(
     keyed = df if key else with_place(df)
     names = list(key) or [name for name, _ in PLACE]
     total = [*order, *[(name, True) for name in names]]
-    if row >= TOP_ROWS and not key and not order:
+    if not key and not order:
         found = file_slice(flt.apply(df, filters), row, 1)
     else:
         seen = [col(name) for name in dict.fromkeys(name for name, _ in total)]

@@ -1,85 +1,31 @@
-"""Row numbers and running sums over a total order, without a one-task window.
+"""Row numbers, slices and running sums over a total order, without a one-task window.
 
-The frame is range-sorted, each row's place inside its sorted partition is
-stored with it, and the partitions' own totals - one small row per partition -
-give the offsets. No task ever holds more than one sorted partition, and a hot
-sort key is still split because each row's own position or content breaks ties.
+Split points of the order (see :mod:`colonnade.operators.ranks`) deal the rows out to
+stretches; each is numbered or summed by itself, and what comes before it is added. A hot
+sort key is still split because each row's own place or content breaks ties. Nothing is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from colonnade.staging import staged
+from colonnade.operators.ranks import Order, RankIndex, sort_columns, tie_break
 from colonnade.types import col
 
-Order = Sequence[tuple[str, bool]]
-
-_PART, _AT = "__part", "__at"
-# monotonically_increasing_id keeps the row's place in its partition in 33 bits.
-_PLACE_BITS = 33
-
-
-def sort_columns(order: Order) -> list[Column]:
-    """Nulls come last in both directions."""
-    return [
-        col(name).asc_nulls_last() if ascending else col(name).desc_nulls_last()
-        for name, ascending in order
-    ]
-
-
-def tie_break(df: DataFrame) -> list[Column]:
-    """A value that tells rows apart and is the same when a lost task runs again.
-
-    The place in the Parquet file where there is one, else a hash of the row. (A
-    generated id would differ between attempts and move rows between partitions.)
-    """
-    place = [F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")]
-    try:
-        df.select(*place).schema
-        return place
-    except AnalysisException:
-        hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        return [F.xxhash64(*[col(name) for name in hashable])]
-
-
-def _placed(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """Sorted rows with their partition and place in it, written once."""
-    ties = {f"__tie{i}": tie for i, tie in enumerate(tie_break(df))}
-    ordered = df.withColumns(ties).orderBy(*keys, *ties).drop(*ties)
-    placed = ordered.withColumn(_AT, F.monotonically_increasing_id())
-    return staged(
-        placed.withColumn(_PART, F.shiftright(_AT, _PLACE_BITS)).withColumn(
-            _AT, F.col(_AT).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-        )
-    )
-
-
-def _partition_offsets(placed: DataFrame) -> DataFrame:
-    """Rows before each partition. One row per partition, so the window is small."""
-    sizes = placed.groupBy(_PART).agg((F.max(_AT) + 1).alias("n"))
-    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(
-        _PART,
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"),
-        F.col("n").alias("__size"),
-    )
+__all__ = ["PLACE", "Order", "file_row_numbers", "file_slice", "number_rows", "row_slice", "running_sums", "sort_columns", "tie_break", "with_place"]
 
 
 def number_rows(df: DataFrame, order: Order, name: str = "row_number") -> DataFrame:
     """Add the 1-based position of each row in the given order."""
-    placed = _placed(df, sort_columns(order))
-    offsets = _partition_offsets(placed).drop("__size")
-    return (
-        placed.join(F.broadcast(offsets), _PART)
-        .withColumn(name, F.col("__before") + F.col(_AT) + 1)
-        .drop("__before", _PART, _AT)
-    )
+    return RankIndex(df, order).numbered(name)
+
+
+def row_slice(df: DataFrame, order: Order, start: int, count: int) -> DataFrame:
+    """Rows ``start .. start + count`` (0-based) of the order, sorted, at any depth."""
+    return RankIndex(df, order).rows(start, count)
 
 
 def _ends(offsets: DataFrame, keys: list[str], start: int, stop: int):
@@ -100,51 +46,46 @@ def _between(major: Column, minor: Column, low: tuple, high: tuple) -> Column:
     return (major >= F.lit(low[0])) & (major <= F.lit(high[0])) & after & until
 
 
-def row_slice(df: DataFrame, order: Order, start: int, count: int) -> DataFrame:
-    """Rows ``start .. start + count`` (0-based) of the order, at any depth."""
-    placed = _placed(df, sort_columns(order))
-    stop = start + count
-    ends = _ends(_partition_offsets(placed), [_PART], start, stop)
-    if ends.a is None:
-        return placed.where(F.lit(False)).drop(_PART, _AT)
-    low = (ends.a[_PART], start - ends.a["__before"])
-    high = (ends.z[_PART], stop - ends.z["__before"])
-    return placed.where(_between(F.col(_PART), F.col(_AT), low, high)).drop(_PART, _AT)
-
-
 def running_sums(
     df: DataFrame, by: Sequence[str], order: Order, sums: dict[str, Column]
 ) -> DataFrame:
     """Add, per series in ``by``, the inclusive running sum of each expression.
 
-    ``by`` keys may be null. A series may span any number of partitions.
+    ``by`` keys may be null. A series may span any number of stretches: each is summed by
+    itself, and the totals of a series in earlier stretches, one row per series and stretch, are added.
     """
-    inputs = df.select("*", *[value.alias(f"__v_{name}") for name, value in sums.items()])
-    placed = _placed(inputs, sort_columns([(name, True) for name in by] + list(order)))
+    index = RankIndex(df, [(name, True) for name in by] + list(order))
+    stretches = index.dealt()
+    inputs = index.keyed.select(
+        "*", *[value.alias(f"__v_{name}") for name, value in sums.items()],
+        index.stretch_of([F.lit(i) for i in range(len(stretches))]).alias(_STRETCH),
+    )
     keys = [col(name) for name in by]
     within = (
-        Window.partitionBy(_PART, *keys)
-        .orderBy(_AT)
+        Window.partitionBy(_STRETCH, *keys)
+        .orderBy(*sort_columns(index.keys))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = placed.select(
+    local = inputs.select(
         *df.columns,
-        _PART,
+        _STRETCH,
         *[F.sum(f"__v_{name}").over(within).alias(f"__l_{name}") for name in sums],
     )
-    totals = placed.groupBy(_PART, *keys).agg(
+    if len(stretches) <= 1:
+        return local.select(*[col(name) for name in df.columns], *[F.col(f"__l_{name}").alias(name) for name in sums])
+    totals = inputs.groupBy(_STRETCH, *keys).agg(
         *[F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums]
     )
-    earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(_STRETCH).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        F.col(_PART).alias("__opart"),
+        F.col(_STRETCH).alias("__ostretch"),
         *[col(name).alias(f"__o{i}") for i, name in enumerate(by)],
         *[
             F.coalesce(F.sum(f"__t_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}")
             for name in sums
         ],
     )
-    match = F.col(_PART) == F.col("__opart")
+    match = F.col(_STRETCH) == F.col("__ostretch")
     for i, name in enumerate(by):
         match &= col(name).eqNullSafe(F.col(f"__o{i}"))
     return local.join(offsets, match, "left").select(
@@ -153,24 +94,45 @@ def running_sums(
     )
 
 
+_STRETCH = "__stretch"
 # Rows of one file that are counted together.
 _CHUNK = 1_000_000
 _FILE, _INDEX = "__file", "__index"
 PLACE = [(_FILE, True), (_INDEX, True)]
 
 
+# A folder of a table or of a version of it, as far as it does not tell files apart.
+_VERSION = r"(-[0-9a-f]{12})?\.(version|parquet)/"
+
+
+def _file_key(path: Column) -> Column:
+    """What files are ordered by: their path, a changed file coming where the one it replaces was."""
+    return F.regexp_replace(path, _VERSION, "/")
+
+
 def with_place(df: DataFrame) -> DataFrame:
     """Add each row's place, ``PLACE``: its Parquet file and its position in it."""
-    return df.withColumns({_FILE: F.col("_metadata.file_path"), _INDEX: F.col("_metadata.row_index")})
+    return df.withColumns({_FILE: _file_key(F.col("_metadata.file_path")), _INDEX: F.col("_metadata.row_index")})
 
 
 def file_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
-    """Add the 1-based position of each row in file order, without a sort.
+    """Add the 1-based position of each row in file order, without a sort of the table.
 
-    Needs a frame that scans whole Parquet files. Files follow each other by path.
+    Files follow each other by path. A frame that scans whole files needs no shuffle:
+    a row's place in its file counts. Where a filter leaves rows out, those that are left are numbered
+    inside stretches of a file and the counts of earlier stretches are added.
     """
     placed = with_place(df)
-    sizes = placed.groupBy(_FILE).agg((F.max(_INDEX) + 1).alias("n"))
+    sizes = placed.groupBy(_FILE).agg((F.max(_INDEX) + 1).alias("n"), F.count(F.lit(1)).alias("kept"))
+    chunk = F.floor(F.col(_INDEX) / F.lit(_CHUNK))
+    if not sizes.where("n <> kept").isEmpty():
+        placed = placed.withColumn("__chunk", chunk)
+        counts = placed.groupBy(_FILE, "__chunk").agg(F.count(F.lit(1)).alias("n"))
+        earlier = Window.orderBy(_FILE, "__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        before = counts.select(_FILE, "__chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+        inside = Window.partitionBy(_FILE, "__chunk").orderBy(_INDEX)
+        nth = placed.withColumn("__nth", F.row_number().over(inside)).join(before, [_FILE, "__chunk"])
+        return nth.select(*[col(c) for c in df.columns], (F.col("__before") + F.col("__nth")).alias(name))
     # One row per file, no more than the file listing Spark itself keeps; the hint
     # spares the table a shuffle by file.
     before = Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1)
@@ -200,6 +162,6 @@ def file_slice(df: DataFrame, start: int, count: int) -> DataFrame:
         return placed.where(F.lit(False))
     low = (ends.a[_FILE], ends.a["__chunk"] * _CHUNK)
     high = (ends.z[_FILE], (ends.z["__chunk"] + 1) * _CHUNK)
-    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    path, index = _file_key(F.col("_metadata.file_path")), F.col("_metadata.row_index")
     near = with_place(df.where(_between(path, index, low, high)))
     return near.orderBy(*sort_columns(PLACE)).offset(start - ends.a["__before"]).limit(count)

@@ -10,48 +10,46 @@ from colonnade.operators.ordered import (
     Order,
     file_slice,
     number_rows,
-    row_slice,
     sort_columns,
     tie_break,
     with_place,
 )
+from colonnade.operators.ranks import RankIndex
 from colonnade.types import col
 
 DEFAULT_PAGE_SIZE = 1000
-# Up to this depth a page is a top-k in one task; deeper pages go by row position. Both
-# put equal rows in the same order.
-TOP_ROWS = 200_000
 
 
 def sort(df: DataFrame, order: Order) -> DataFrame:
     return df.orderBy(*sort_columns(order))
 
 
-def rows(df: DataFrame, order: Order, limit: int = -1, offset: int = -1) -> DataFrame:
+def rows(df: DataFrame, order: Order, limit: int = -1, offset: int = -1, index: RankIndex | None = None) -> DataFrame:
     """``limit`` rows after ``offset`` rows of the order; -1 leaves either out.
 
     Equal rows of the order follow each other by their place in the file, or by a hash of
     the row where there is none, at every depth. So pages never share or leave out rows.
+    Without an offset this is a plain sort with a limit; with one, a rank index (``index``, or
+    one made for the call) tells which stretch of the order is read.
     """
     start = max(offset, 0)
     if limit < 0 and start == 0:
         return sort(df, order)
     if limit < 0:
         # An offset without a limit would pull every row into one task.
-        numbered = number_rows(df, order, "__row_number")
+        numbered = number_rows(df, order, "__row_number") if index is None else index.numbered("__row_number")
         return sort(numbered.where(F.col("__row_number") > start).drop("__row_number"), order)
-    if start + limit <= TOP_ROWS:
+    if start == 0:
         ties = {f"__tie{i}": tie for i, tie in enumerate(tie_break(df))}
-        ordered = df.withColumns(ties).orderBy(*sort_columns(order), *ties)
-        return (ordered.offset(start) if start else ordered).limit(limit).drop(*ties)
-    return sort(row_slice(df, order, start, limit), order)
+        return df.withColumns(ties).orderBy(*sort_columns(order), *[F.col(tie).asc() for tie in ties]).limit(limit).drop(*ties)
+    return (index or RankIndex(df, order)).rows(start, limit)
 
 
-def page(df: DataFrame, order: Order, index: int, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """Page ``index`` (0-based)."""
+def page(df: DataFrame, order: Order, index: int, size: int = DEFAULT_PAGE_SIZE, ranks: RankIndex | None = None) -> DataFrame:
+    """Page ``index`` (0-based). For several pages of a frame make one ``ranks`` and pass it."""
     if size <= 0 or index < 0:
         raise ValueError("page size must be positive and the index not negative")
-    return rows(df, order, size, index * size)
+    return rows(df, order, size, index * size, ranks)
 
 
 def numbered_page(

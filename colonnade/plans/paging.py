@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colonnade.operators import filters as flt
 from colonnade.operators import ordered, paging
+from colonnade.operators.ranks import RankIndex
 from colonnade.plans.registry import query
 
 _BY_PRICE = [("o_totalprice", True), ("o_orderkey", True)]
@@ -74,9 +75,8 @@ def _(t):
     "ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 5000 OFFSET 5000",
 )
 def _(t):
-    # The way pages beyond the top-k depth are read.
     narrow = t.orders.select("o_orderkey", "o_totalprice")
-    return ordered.row_slice(narrow, _BY_PRICE, 5000, 5000)
+    return paging.page(narrow, _BY_PRICE, 1, 5000)
 
 
 @query(
@@ -134,5 +134,7 @@ def _(t):
     view = flt.apply(t.lineitem, [flt.equal("l_returnflag", "R")])
     view = view.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
     size = -(-view.count() // 4)
-    pages = [paging.page(view, [("l_quantity", True)], index, size) for index in range(4)]
+    order = [("l_quantity", True)]
+    ranks = RankIndex(view, order)
+    pages = [paging.page(view, order, index, size, ranks) for index in range(4)]
     return pages[0].unionAll(pages[1]).unionAll(pages[2]).unionAll(pages[3])

@@ -12,6 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colonnade.sources import versions
 from colonnade.types import check_distinct_names
 
 
@@ -39,10 +40,11 @@ def listing(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    if extension(path) != "parquet":
+    """A Parquet file or folder, or a version of one that an edit has made."""
+    if extension(path) not in ("parquet", "version"):
         raise UnreadableTable(f"{path} is not a .parquet file")
     try:
-        df = spark.read.parquet(path)
+        df = versions.open_version(spark, path) if versions.is_version(path) else spark.read.parquet(path)
     except (PySparkException, Py4JJavaError) as error:
         raise UnreadableTable(f"{path} cannot be read as Parquet: {error}") from error
     check_distinct_names(df.columns)

@@ -14,7 +14,7 @@ _VERSION = re.compile(r"-[0-9a-f]{12}$")
 
 def new_path(path: str) -> str:
     """A fresh path beside ``path``, for the next version of the same table."""
-    stem = path.rstrip("/").removesuffix(".parquet")
+    stem = path.rstrip("/").removesuffix(".parquet").removesuffix(".version")
     return f"{_VERSION.sub('', stem)}-{uuid.uuid4().hex[:12]}.parquet"
 
 

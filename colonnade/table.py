@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import posixpath
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.operators import edit, paging, profile
 from colonnade.operators import filters as flt
 from colonnade.operators import merge as merging
+from colonnade.operators.ordered import PLACE, file_slice
+from colonnade.operators.ranks import Order, RankIndex
 from colonnade.operators.subtable import subtable as grouped
+from colonnade.sources import versions
 from colonnade.sources.files import base_name, listing, read_parquet
 from colonnade.sources.sink import new_path, write_table
-from colonnade.types import LogicalType, check_distinct_names, logical_types, quoted
+from colonnade.types import LogicalType, check_distinct_names, classify, logical_types, quoted
 
 
 def human_size(size: int) -> str:
@@ -145,9 +151,30 @@ class Table:
         the file does.
         """
         order = flt.ordering(self.filters)
-        if not key:
-            return paging.file_page(self.view(), index, size, order)
-        return paging.page(self.view(), [*order, *[(name, True) for name in key]], index, size)
+        if not key and not order:
+            return paging.file_page(self.view(), index, size)
+        order = [*order, *[(name, True) for name in key]]
+        return paging.page(self.view(), order, index, size, self._ranks(order) if index else None)
+
+    def _ranks(self, order: Order) -> RankIndex:
+        """The rank index of the view in an order, kept beside the table.
+
+        Files are never changed, so an index holds for its path, filters and order for ever.
+        """
+        if self.path is None:
+            return RankIndex(self.view(), order)
+        spark = self.df.sparkSession
+        what = json.dumps([self.path, flt.to_json(self.filters), list(order)])
+        path = posixpath.join(_folder_of(self), f"ranks_{hashlib.sha256(what.encode()).hexdigest()[:24]}")
+        try:
+            ((text,),) = spark.read.text(path, wholetext=True).collect()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            index = RankIndex(self.view(), order)
+            spark.range(1).select(F.lit(index.to_json())).coalesce(1).write.mode("overwrite").text(path)
+            return index
+        return RankIndex.from_json(self.view(), order, text)
 
     def cell(self, row: int, column: int | str) -> DataFrame:
         """One cell by its 0-based row in the view; empty past the last row."""
@@ -173,12 +200,35 @@ class Table:
         return self.rewritten(edit.retype(self.df, name, to, lenient_int)).mark_empty(name)
 
     def update_cell(self, row: int, column: int | str, value, key: Sequence[str] = ()) -> Table:
-        """Replace one cell by its 0-based row in the filtered and sorted view."""
+        """Replace one cell by its 0-based row in the filtered and sorted view.
+
+        Of a stored table only the file that holds the row is written anew; the new handle's
+        version names it and all other files. A row past the last changes nothing.
+        """
         name = self.column(column)
-        edited = edit.update_cell(
-            self.df, row, name, value, flt.ordering(self.filters), self.filters, key
-        )
-        return self.rewritten(edited).mark_empty(name)
+        if self.path is None:
+            order = flt.ordering(self.filters)
+            return self.rewritten(edit.update_cell(self.df, row, name, value, order, self.filters, key)).mark_empty(name)
+        found = self._place(row, [*flt.ordering(self.filters), *[(k, True) for k in key]])
+        if found is None:
+            return self
+        spark_type = self.df.schema[name].dataType
+        new = edit.edited_value(value, classify(spark_type)).cast(spark_type)
+        path = versions.with_cell(self.df, self.path, *found, name, new)
+        return replace(self, df=read_parquet(self.df.sparkSession, path), path=path).mark_empty(name)
+
+    def _place(self, row: int, order: Order) -> tuple[str, int] | None:
+        """The file and the place in it of a row of the view."""
+        if row < 0:
+            return None
+        own = {"__path": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")}
+        view = flt.apply(self.df.withColumns(own), self.filters)
+        if order:
+            ranks = RankIndex(view, order, self._ranks(order).stretches)
+            found = ranks.rows(row, 1).select("__path", F.col("__at").alias("at")).first()
+        else:
+            found = file_slice(view, row, 1).select("__path", F.col(PLACE[1][0]).alias("at")).first()
+        return None if found is None else (found["__path"], found["at"])
 
     # --- new tables from tables ---
 
@@ -269,7 +319,11 @@ def inventory(spark: SparkSession, tables: Sequence[Table]) -> DataFrame:
             "bytes bigint, size string"
         )
         return spark.createDataFrame([], shape)
-    sizes = stored_bytes(spark, [table.path for table in tables if table.path])
+    sizes = stored_bytes(spark, [table.path for table in tables if table.path and not versions.is_version(table.path)])
+    for table in tables:
+        if table.path and versions.is_version(table.path):
+            own = listing(spark, *table.df.inputFiles())
+            sizes[table.path] = own.agg(F.sum("length")).first()[0]
     rows = [
         table.row_count().select(
             F.lit(table.path).cast("string").alias("path"),

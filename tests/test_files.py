@@ -181,16 +181,6 @@ def test_entries_that_leave_the_target(spark, tmp_path, name):
     assert not bundle.escapes("a/../fine.csv") and not bundle.escapes("..fine.csv")
 
 
-def test_staging_folder_comes_from_the_session(spark):
-    from colonnade.staging import staged, staging_dir
-
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        assert staging_dir(spark) == configured.rstrip("/")
-    df = staged(spark.range(5).withColumn("x", F.col("id") * 2))
-    assert sorted(values(df, "x")) == [0, 2, 4, 6, 8]
-
-
 @pytest.mark.parametrize(
     "content",
     ['{"a":1,"b":"x"}\n{"a":2,"b":"y"}\n{"a":3,"b":"z"}\n', '[{"a":1,"b":"x"},\n {"a":2,"b":"y"}]', '{"a":1,\n "b":"x"}', '[{"a":1,"b":"x"}]'],

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colonnade.operators import ordered, paging
+from colonnade.operators import ordered, paging, ranks
 from tests.conftest import values
 
 
@@ -45,7 +45,8 @@ def test_last_page_is_short(large):
 
 
 def test_deep_pages_go_by_position(large, monkeypatch):
-    monkeypatch.setattr(paging, "TOP_ROWS", 10)
+    monkeypatch.setattr(ranks, "STRETCH_ROWS", 100)
+    monkeypatch.setattr(ranks, "FANOUT", 8)
     assert values(paging.page(large, [("id", False)], 3, 1000)) == list(range(7049, 6049, -1))
     assert paging.page(large, [("id", False)], 11, 1000).count() == 0
     assert values(paging.page(large, [("id", True)], 10, 1000)) == list(range(10_000, 10_050))
@@ -105,3 +106,13 @@ def test_file_pages_of_filtered_scans(spark, tmp_path, monkeypatch, chunk):
     assert values(paging.file_page(df, 19, 50)) == in_order[950:]
     by_digit = paging.file_page(df.selectExpr("id", "id % 10 as d"), 1, 100, [("d", True)])
     assert values(by_digit) == [i for i in in_order if i % 10 == 1]
+
+
+def test_numbers_of_a_filtered_scan_count_the_rows_left(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(1000).repartition(4, "id").write.parquet(path)
+    df = spark.read.parquet(path)
+    got = ordered.file_row_numbers(df.where("id % 7 = 3")).orderBy("row_number")
+    in_order = values(df.select("id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index"))
+    assert values(got, "row_number") == list(range(1, 144))
+    assert values(got, "id") == [i for i in in_order if i % 7 == 3]
