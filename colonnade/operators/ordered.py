@@ -56,10 +56,8 @@ def running_sums(
     """
     index = RankIndex(df, [(name, True) for name in by] + list(order))
     stretches = index.dealt()
-    inputs = index.keyed.select(
-        "*", *[value.alias(f"__v_{name}") for name, value in sums.items()],
-        index.stretch_of([F.lit(i) for i in range(len(stretches))]).alias(_STRETCH),
-    )
+    valued = index.keyed.select("*", *[value.alias(f"__v_{name}") for name, value in sums.items()])
+    inputs = index.with_stretch(valued, _STRETCH, range(len(stretches)))
     keys = [col(name) for name in by]
     within = (
         Window.partitionBy(_STRETCH, *keys)
@@ -105,14 +103,16 @@ PLACE = [(_FILE, True), (_INDEX, True)]
 _VERSION = r"(-[0-9a-f]{12})?\.(version|parquet)/"
 
 
-def _file_key(path: Column) -> Column:
+def _file_key(df: DataFrame) -> Column:
     """What files are ordered by: their path, a changed file coming where the one it replaces was."""
-    return F.regexp_replace(path, _VERSION, "/")
+    path = F.col("_metadata.file_path")
+    changed = any(".version/" in name for name in df.inputFiles())
+    return F.regexp_replace(path, _VERSION, "/") if changed else path
 
 
 def with_place(df: DataFrame) -> DataFrame:
     """Add each row's place, ``PLACE``: its Parquet file and its position in it."""
-    return df.withColumns({_FILE: _file_key(F.col("_metadata.file_path")), _INDEX: F.col("_metadata.row_index")})
+    return df.withColumns({_FILE: _file_key(df), _INDEX: F.col("_metadata.row_index")})
 
 
 def file_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
@@ -162,6 +162,6 @@ def file_slice(df: DataFrame, start: int, count: int) -> DataFrame:
         return placed.where(F.lit(False))
     low = (ends.a[_FILE], ends.a["__chunk"] * _CHUNK)
     high = (ends.z[_FILE], (ends.z["__chunk"] + 1) * _CHUNK)
-    path, index = _file_key(F.col("_metadata.file_path")), F.col("_metadata.row_index")
+    path, index = _file_key(df), F.col("_metadata.row_index")
     near = with_place(df.where(_between(path, index, low, high)))
     return near.orderBy(*sort_columns(PLACE)).offset(start - ends.a["__before"]).limit(count)

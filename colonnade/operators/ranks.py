@@ -13,7 +13,7 @@ rows that are equal in all of that are counted together and interchangeable.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.types import col, field_type
+from colonnade.types import col, field_type, quoted
 
 Order = Sequence[tuple[str, bool]]
 
@@ -74,6 +74,35 @@ def _literal(text: str, kind: T.DataType) -> Column:
     return F.lit(text).cast(kind)
 
 
+def _rising(x: str, kind: T.DataType, ascending: bool) -> list[str] | None:
+    """SQL of values that rise in the order of ``x``, nulls last; None if there are none."""
+    if ascending:
+        return [f"{x} IS NULL", x]
+    if isinstance(kind, T.IntegralType):
+        return [f"{x} IS NULL", f"~{x}"]
+    if isinstance(kind, T.DecimalType):
+        return [f"{x} IS NULL", f"-{x}"]
+    if isinstance(kind, T.FractionalType):
+        return [f"{x} IS NULL", f"NOT isnan({x})", f"CASE WHEN isnan({x}) THEN 0D ELSE -CAST({x} AS DOUBLE) END"]
+    if isinstance(kind, T.BooleanType):
+        return [f"{x} IS NULL", f"NOT {x}"]
+    if isinstance(kind, T.DateType):
+        return [f"{x} IS NULL", f"-unix_date({x})"]
+    if isinstance(kind, T.TimestampType):
+        return [f"{x} IS NULL", f"~unix_micros({x})"]
+    return None
+
+
+def _literal_sql(text: str | None, kind: T.DataType) -> str:
+    if text is None:
+        return f"CAST(NULL AS {kind.simpleString()})"
+    if isinstance(kind, T.TimestampType):
+        return f"timestamp_micros({int(text)}L)"
+    if isinstance(kind, T.BinaryType):
+        return f"unhex('{text}')"
+    return f"CAST(CAST(unhex('{text.encode().hex()}') AS STRING) AS {kind.simpleString()})"
+
+
 @dataclass
 class Stretch:
     """Consecutive rows: the first one's keys as texts, how many rows come before, and how many these are."""
@@ -115,11 +144,12 @@ class RankIndex:
             F.shiftright("__at", 33).alias("part"), (F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"), texts.alias("key"), weight.alias("n")
         )
         chunk = F.floor(F.col("place") / F.lit(length)).alias("chunk")
-        first = F.min(F.when(F.col("place") % length == 0, F.col("key")))
-        made = placed.groupBy("part", chunk).agg(first.alias("first"), F.sum("n").alias("n")).orderBy("part", "chunk").collect()
+        # One key per chunk; the list skips the nulls of all other rows.
+        first = F.collect_list(F.when(F.col("place") % length == 0, F.col("key")))
+        made = placed.groupBy("part", chunk).agg(first.alias("first"), F.sum("n").alias("n")).collect()
         found = []
-        for row in made:
-            found.append(Stretch(list(row["first"]), before, row["n"]))
+        for row in sorted(made, key=lambda row: (row["part"], row["chunk"])):
+            found.append(Stretch(list(row["first"][0]), before, row["n"]))
             before += row["n"]
         return found
 
@@ -210,21 +240,46 @@ class RankIndex:
         groups = [self.stretches[k : k + step] for k in range(0, len(self.stretches), step)]
         return [Stretch(g[0].first, g[0].before, sum(s.rows for s in g)) for g in groups]
 
-    def stretch_of(self, values: Sequence[Column]) -> Column:
-        """The entry of ``values`` of the dealt stretch that holds a row: a search tree of comparisons."""
+    def with_stretch(self, rows: DataFrame, name: str, values: Sequence[int]) -> DataFrame:
+        """``rows`` with the entry of ``values`` of the dealt stretch that holds each: a search tree of comparisons.
+
+        All keys are put into one struct that rises in the order, so that a node compares
+        once; where a falling key has no opposite, keys are compared one by one.
+        """
         stretches = self.dealt()
+        fields = self._struct(lambda i: quoted(self.keys[i][0]))
 
-        def tree(low: int, high: int) -> Column:
+        def tree(low: int, high: int) -> str:
             if high - low <= 1:
-                return values[low]
+                return f"{values[low]}L"
             middle = (low + high) // 2
-            return F.when(self._from(stretches[middle].first), tree(middle, high)).otherwise(tree(low, middle))
+            first = stretches[middle].first
+            bound = self._struct(lambda i: _literal_sql(first[i], self.kinds[i]))
+            return f"CASE WHEN __key >= {bound} THEN {tree(middle, high)} ELSE {tree(low, middle)} END"
 
-        return tree(0, len(stretches)) if stretches else F.lit(0)
+        def slow_tree(low: int, high: int) -> Column:
+            if high - low <= 1:
+                return F.lit(values[low]).cast("long")
+            middle = (low + high) // 2
+            return F.when(self._from(stretches[middle].first), slow_tree(middle, high)).otherwise(slow_tree(low, middle))
+
+        if len(stretches) <= 1:
+            return rows.withColumn(name, F.lit(values[0] if stretches else 0).cast("long"))
+        if fields is None:
+            return rows.withColumn(name, slow_tree(0, len(stretches)))
+        return rows.withColumn("__key", F.expr(fields)).withColumn(name, F.expr(tree(0, len(stretches)))).drop("__key")
+
+    def _struct(self, sql: Callable[[int], str]) -> str | None:
+        made: list[str] = []
+        for i, ((_, ascending), kind) in enumerate(zip(self.keys, self.kinds, strict=True)):
+            rising = _rising(sql(i), kind, ascending)
+            if rising is None:
+                return None
+            made += rising
+        return f"named_struct({', '.join(f"'f{i}', {x}" for i, x in enumerate(made))})"
 
     def numbered(self, name: str) -> DataFrame:
         """All rows with their 1-based position: a window inside each stretch, after what comes before it."""
-        before = self.stretch_of([F.lit(s.before).cast("long") for s in self.dealt()])
         inside = Window.partitionBy("__before").orderBy(*sort_columns(self.keys))
-        placed = self.keyed.withColumn("__before", before).withColumn("__place", F.row_number().over(inside))
+        placed = self.with_stretch(self.keyed, "__before", [s.before for s in self.dealt()]).withColumn("__place", F.row_number().over(inside))
         return placed.select(*[col(c) for c in self.df.columns if c != name], (F.col("__before") + F.col("__place")).alias(name))

@@ -72,7 +72,7 @@ def test_every_page_of_any_type(spark, tmp_path, tiny, field, stored):
     got = [tuple(r) for at in (0, 47, 94) for r in index.rows(at, 47).collect()]
     assert list(map(str, got)) == list(map(str, want))
     again = RankIndex.from_json(df, order, index.to_json())
-    assert str(again.rows(123, 4).collect()) == str(index.rows(63, 4).collect())
+    assert str(again.rows(63, 4).collect()) == str(index.rows(63, 4).collect())
     numbered = sorted(index.numbered("n").collect(), key=lambda r: r.n)
     assert [r.n for r in numbered] == list(range(1, 111)) and [str((r[0], r[1])) for r in numbered] == list(map(str, want))
 
