@@ -33,7 +33,7 @@ def to_double(text: Column, comma: bool = True) -> Column:
     """Double; ``comma`` reads a decimal comma as a decimal point."""
     if not comma:
         return F.when(text.rlike(_DECIMAL.replace("{point}", r"\.")), text.try_cast("double"))
-    pointed = F.translate(text, ",", ".").try_cast("double")
+    pointed = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
     return F.when(text.rlike(_DECIMAL.replace("{point}", "[.,]")), pointed)
 
 
@@ -68,6 +68,30 @@ def iso_to_date(text: Column) -> Column:
     return F.when(text.rlike(_ISO_DATE), F.try_to_date(F.concat_ws("-", *parts), "y-M-d"))
 
 
+#: What :func:`fits` marks each type with.
+FIT_BITS = {LogicalType.BOOLEAN: 1, LogicalType.INTEGER: 2, LogicalType.DOUBLE: 4, LogicalType.DATE: 8}
+
+
+def fits(text: Column, lenient_int: bool = False) -> Column:
+    """The types whose cast of a text is not null, as bits; null for a null text.
+
+    One look at a text's shape settles most: a text without a digit is no date, and no number but by
+    name; what has the shape of a number is one, so it is not parsed but for the range of integers.
+    """
+    bit = lambda kind, test: F.when(test, FIT_BITS[kind]).otherwise(0)
+    number = text.rlike(_DECIMAL.replace("{point}", "[.,]"))
+    if lenient_int:
+        whole = bit(LogicalType.INTEGER, to_integer(text, True).isNotNull())
+    else:
+        whole = bit(LogicalType.INTEGER, to_integer(text).isNotNull())
+    # A date has a slash or a dash, which no number has but as its sign or its exponent's.
+    dated = (text.contains("/") | text.contains("-")) & text.rlike("[0-9]")
+    named = F.when(F.length(text) <= 5, bit(LogicalType.BOOLEAN, to_boolean(text).isNotNull())).otherwise(0)
+    numbers = F.when(number, F.lit(FIT_BITS[LogicalType.DOUBLE]) + whole).otherwise(0)
+    dates = F.when(dated, bit(LogicalType.DATE, to_date(text).isNotNull())).otherwise(0)
+    return F.when(text.isNotNull(), named + numbers + dates)
+
+
 def cast_text(text: Column, to: LogicalType, lenient_int: bool = False) -> Column:
     """The ingest cast of a text column to the type the vote chose."""
     if to is LogicalType.INTEGER:

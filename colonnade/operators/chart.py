@@ -89,22 +89,23 @@ def ordered(frame: DataFrame) -> DataFrame:
     return frame.orderBy(*[F.col(name).asc_nulls_last() for name in keys])
 
 
-def check_outer_groups(frame: DataFrame) -> None:
-    """Raise :class:`TooManyGroups` beyond the limit; looks at no more than it must."""
-    seen = frame.select("series").distinct().limit(MAX_OUTER_GROUPS + 1).count()
-    if seen > MAX_OUTER_GROUPS:
-        raise TooManyGroups(f"a chart shows at most {MAX_OUTER_GROUPS} outer groups")
+def check_outer_groups(frame: DataFrame, most: int = MAX_OUTER_GROUPS) -> None:
+    """Raise :class:`TooManyGroups` beyond ``most``; looks at no more than it must."""
+    seen = frame.select("series").distinct().limit(most + 1).count()
+    if seen > most:
+        raise TooManyGroups(f"a chart shows at most {most} outer groups")
 
 
-def dense(frame: DataFrame) -> DataFrame:
+def dense(frame: DataFrame, most: int = MAX_OUTER_GROUPS) -> DataFrame:
     """Give every series every category, zero where there was none.
 
     Adds ``first_series``: categories appear in the order
-    ``(first_series, category)``, nulls last. Raises :class:`TooManyGroups`.
+    ``(first_series, category)``, nulls last. Raises :class:`TooManyGroups` beyond ``most``
+    series, since each category's row holds a value for all of them.
     """
     # The groups are read for two things, over one exchange.
-    check_outer_groups(frame)
-    # Wrapped in structs because collect_set skips bare nulls. At most 20 entries.
+    check_outer_groups(frame, most)
+    # Wrapped in structs because collect_set skips bare nulls. At most ``most`` entries.
     names = frame.agg(F.collect_set(F.struct(F.col("series").alias("name")))).scalar()
     per_category = frame.groupBy("category").agg(
         F.map_from_entries(

@@ -359,3 +359,9 @@ def check_allowed(item: Filter, kind: LogicalType, has_categories: bool = False)
         if condition.op not in (_COMPARABLE if measured else allowed):
             raise ValueError(f"{condition.op.value} is not offered for {kind.value} column {item.column!r}")
 
+
+def needs_free_text(item: Filter) -> bool:
+    """Whether a condition is offered for free text, but not for text with categories."""
+    free = allowed_operators(LogicalType.STRING)
+    picked = allowed_operators(LogicalType.STRING, has_categories=True)
+    return any(c.op in free and c.op not in picked and c.func is not Func.LENGTH for c in item.conditions)

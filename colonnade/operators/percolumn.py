@@ -12,6 +12,7 @@ def aggregate_columns(
     df: DataFrame,
     cells: Mapping[str, Column],
     aggregates: Callable[[Column], Mapping[str, Column]],
+    prepare: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``(ordinal, column, <aggregates>)``, one row per entry of ``cells``.
 
@@ -25,6 +26,7 @@ def aggregate_columns(
     ]
     made = (
         df.select(F.inline(F.array(*pairs)))
+        .select("ordinal", F.col("x") if prepare is None else prepare(F.col("x")).alias("x"))
         .groupBy("ordinal")
         .agg(*[value.alias(name) for name, value in aggregates(F.col("x")).items()])
     )

@@ -1,11 +1,11 @@
 """Exact quantiles of columns of any size.
 
-Spark's exact ``percentile`` gathers a column's distinct values in one task, so it
-is used only below a checked number of values. Above it each wanted rank is
-closed in on: an approximate sketch proposes two values, one counting pass tells
-on which side of them the rank lies, and this repeats until few values are left
-between. Each pass is a map-side aggregate of one row; nothing is shuffled or
-sorted. The proposals only speed the search up, the counts make it exact.
+One scan counts every column and sketches it; the sketch's error bound gives, for each wanted
+rank, two values that it lies between. A second scan counts what is below both and gathers
+the few values between them, for all columns and ranks at once, which settles them exactly.
+Only where a table is so large that many values lie between, counts narrow the stretch first and
+it is sketched again. Every scan is a map-side aggregate of one row; nothing is sorted, and once
+stretches are narrow their bounds reach the scan.
 """
 
 from __future__ import annotations
@@ -21,107 +21,130 @@ from pyspark.sql import types as T
 from colonnade.functions.times import from_micros, to_micros
 from colonnade.types import classify, col, field_type
 
-# At most this many values of a column are gathered in one task.
-EXACT_ROWS = 100_000
-_SKETCH_ACCURACY = 1000
+#: Values between two bounds that are gathered in one task at most.
+GATHERED = 100_000
+#: Ranks of sketched values are off by one in so many at most.
+ACCURACY = 10_000
+_MARGIN = 1.5 / ACCURACY
 
 
 @dataclass
 class _Rank:
-    """Search for the value at one 0-based rank among a column's sorted values."""
+    """Search for the value at one 0-based rank among a column's sorted values.
+
+    ``inside`` values lie strictly between ``low`` and ``high``, after ``below`` others; ``a`` and ``b``
+    are proposed to lie on both sides of the rank.
+    """
 
     column: str
     rank: int
-    below: int
     inside: int
+    below: int = 0
     low: float | int | None = None
     high: float | int | None = None
+    a: float | int | None = None
+    b: float | int | None = None
     value: float | int | None = None
     done: bool = False
 
-    def bounds(self) -> tuple:
-        """Ranks with equal bounds share their passes."""
-        return self.column, self.low, self.high
-
     def window(self) -> Column:
-        """The column where it lies strictly between the bounds, else null."""
+        """Whether the column lies strictly between the bounds."""
         c = F.col(self.column)
         keep = c.isNotNull()
         if self.low is not None:
             keep &= c > F.lit(self.low)
         if self.high is not None:
             keep &= c < F.lit(self.high)
-        return F.when(keep, c)
-
-    def narrow(self, a, b, counts) -> None:
-        lt_a, eq_a, lt_b, eq_b = counts
-        if self.rank < lt_a:
-            self.high, self.inside = a, lt_a - self.below
-        elif self.rank < lt_a + eq_a:
+        return keep
+
+    def probes(self) -> list[Column]:
+        at = (self.rank - self.below) / self.inside
+        return [F.lit(min(max(at + d, 0.0), 1.0)) for d in (-_MARGIN, _MARGIN)]
+
+    def few(self, gathered: int) -> bool:
+        """Whether the proposals leave few values between them: their ranks differ by both margins and errors."""
+        return self.inside * 5 <= gathered * ACCURACY
+
+    def settle_between(self, gathered: int) -> tuple | None:
+        """The bounds between which values are gathered: the window's own if it is small, else the proposals; None for neither."""
+        if self.inside <= gathered:
+            return self.low, self.high
+        return (self.a, self.b) if self.few(gathered) else None
+
+    def narrow(self, lt_a: int, eq_a: int, lt_b: int, eq_b: int) -> None:
+        """``lt`` values of the window lie below a proposal and ``eq`` equal it."""
+        a, b, at = self.a, self.b, self.rank - self.below
+        if at < lt_a:
+            self.high, self.inside = a, lt_a
+        elif at < lt_a + eq_a:
             self.value, self.done = a, True
-        elif self.rank < lt_b:
+        elif at < lt_b:
             self.low, self.high = a, b
-            self.below, self.inside = lt_a + eq_a, lt_b - lt_a - eq_a
-        elif self.rank < lt_b + eq_b:
+            self.below, self.inside = self.below + lt_a + eq_a, lt_b - lt_a - eq_a
+        elif at < lt_b + eq_b:
             self.value, self.done = b, True
         else:
-            self.inside = self.below + self.inside - lt_b - eq_b
-            self.low, self.below = b, lt_b + eq_b
-
-
-def _by_bounds(ranks: list[_Rank]) -> list[list[_Rank]]:
-    groups: dict[tuple, list[_Rank]] = {}
-    for r in ranks:
-        groups.setdefault(r.bounds(), []).append(r)
-    return list(groups.values())
-
-
-def _close_in(df: DataFrame, ranks: list[_Rank], exact_rows: int) -> None:
-    """Narrow every rank until it is found or few values are left around it."""
-    margin = 1.5 / _SKETCH_ACCURACY
-    while True:
-        wide = _by_bounds([r for r in ranks if not r.done and r.inside > exact_rows])
-        if not wide:
-            return
-        sketches = []
-        for group in wide:
-            at = [(r.rank - r.below) / r.inside for r in group]
-            probes = [F.lit(min(max(x + d, 0.0), 1.0)) for x in at for d in (-margin, margin)]
-            sketches.append(
-                F.percentile_approx(group[0].window(), F.array(*probes), _SKETCH_ACCURACY)
-            )
-        proposed = df.agg(*[s.alias(f"p{i}") for i, s in enumerate(sketches)]).first()
-        found = {g[0].bounds(): proposed[f"p{i}"] for i, g in enumerate(wide)}
-        marks = sorted({(key[0], bound) for key, values in found.items() for bound in values})
-        counts = []
-        for i, (column, bound) in enumerate(marks):
-            counts.append(F.count_if(F.col(column) < F.lit(bound)).alias(f"lt{i}"))
-            counts.append(F.count_if(F.col(column) == F.lit(bound)).alias(f"eq{i}"))
-        row = df.agg(*counts).first()
-        seen = {mark: (row[f"lt{i}"], row[f"eq{i}"]) for i, mark in enumerate(marks)}
-        for group in wide:
-            values = found[group[0].bounds()]
-            for j, r in enumerate(group):
-                a, b = values[2 * j], values[2 * j + 1]
-                r.narrow(a, b, (*seen[r.column, a], *seen[r.column, b]))
-
-
-def _rank_values(df: DataFrame, ranks: list[_Rank]) -> tuple[DataFrame, dict[int, Column]]:
-    """A one-row frame, and the value of each rank as a column of it, by position."""
-    place = {id(r): i for i, r in enumerate(ranks)}
-    picks = {place[id(r)]: F.lit(r.value).cast("double") for r in ranks if r.done}
-    inputs, gathered = [], []
-    for i, group in enumerate(_by_bounds([r for r in ranks if not r.done])):
-        inputs.append(group[0].window().alias(f"w{i}"))
-        # The half step keeps rounding away from the neighbouring ranks.
-        spots = ", ".join(f"{(r.rank - r.below + 0.5) / r.inside!r}D" for r in group)
-        gathered.append(
-            F.expr(f"percentile_disc(array({spots})) WITHIN GROUP (ORDER BY w{i})").alias(f"g{i}")
+            self.low, self.below, self.inside = b, self.below + lt_b + eq_b, self.inside - lt_b - eq_b
+
+
+def _propose(df: DataFrame, ranks: list[_Rank]) -> None:
+    """One scan that sketches the window of every rank."""
+    near = _reaching(df, ranks)
+    made = [F.percentile_approx(F.when(r.window(), F.col(r.column)), F.array(*r.probes()), ACCURACY).alias(f"p{i}") for i, r in enumerate(ranks)]
+    row = near.agg(*made).first()
+    for i, r in enumerate(ranks):
+        r.a, r.b = row[f"p{i}"]
+
+
+def _reaching(df: DataFrame, ranks: list[_Rank]) -> DataFrame:
+    """The rows that lie in some window, by a condition that scans can use, once all are narrow."""
+    if any(r.low is None and r.high is None for r in ranks):
+        return df
+    some = ranks[0].window()
+    for r in ranks[1:]:
+        some |= r.window()
+    return df.where(some)
+
+
+def _settle(df: DataFrame, ranks: list[_Rank], gathered: int) -> None:
+    """One scan that counts around the proposals of every rank and gathers the values between close ones."""
+    counts: dict[tuple, list[Column]] = {}
+    between: dict[tuple, Column] = {}
+    small = [r.inside <= gathered for r in ranks]
+    for r, whole in zip(ranks, small, strict=True):
+        c = F.when(r.window(), F.col(r.column))
+        if not whole:
+            for bound in (r.a, r.b):
+                counts.setdefault((r.column, r.low, r.high, repr(bound)), [F.count_if(c < F.lit(bound)), F.count_if(c == F.lit(bound))])
+        if whole or r.few(gathered):
+            kept = c if whole else F.when((c > F.lit(r.a)) & (c < F.lit(r.b)), c)
+            between.setdefault((r.column, r.low, r.high, *map(repr, r.settle_between(gathered))), F.array_sort(F.collect_list(kept)))
+    place = {key: i for i, key in enumerate(counts)}
+    lists = {key: i for i, key in enumerate(between)}
+    made = [c.alias(f"{kind}{place[key]}") for key, pair in counts.items() for kind, c in zip(("lt", "eq"), pair, strict=True)]
+    aggregated = _reaching(df, ranks).agg(*made, *[c.alias(f"g{lists[key]}") for key, c in between.items()])
+    # Of the gathered values only the wanted ones leave the aggregate.
+    picked = []
+    for i, (r, whole) in enumerate(zip(ranks, small, strict=True)):
+        if whole or r.few(gathered):
+            at = F.lit(r.rank - r.below)
+            if not whole:
+                k = place[r.column, r.low, r.high, repr(r.a)]
+                at = at - F.col(f"lt{k}") - F.col(f"eq{k}")
+            values = F.col(f"g{lists[r.column, r.low, r.high, *map(repr, r.settle_between(gathered))]}")
+            picked.append(F.when(at >= 0, F.get(values, at.cast("int"))).alias(f"v{i}"))
+    row = aggregated.select(*[f"{kind}{i}" for i in place.values() for kind in ("lt", "eq")], *picked).first()
+    for i, (r, whole) in enumerate(zip(ranks, small, strict=True)):
+        if whole:
+            r.value, r.done = row[f"v{i}"], True
+            continue
+        (lt_a, eq_a), (lt_b, eq_b) = (
+            (row[f"lt{place[key]}"], row[f"eq{place[key]}"]) for key in ((r.column, r.low, r.high, repr(bound)) for bound in (r.a, r.b))
         )
-        for j, r in enumerate(group):
-            picks[place[id(r)]] = F.col(f"g{i}")[j].cast("double")
-    base = df.select(*inputs) if inputs else df.select(F.lit(1).alias("one")).limit(1)
-    return base.agg(F.lit(1).alias("one"), *gathered), picks
+        if r.few(gathered) and lt_a + eq_a <= r.rank - r.below < lt_b:
+            r.value, r.done = row[f"v{i}"], True
+        else:
+            r.narrow(lt_a, eq_a, lt_b, eq_b)
 
 
 def _measurable(df: DataFrame, name: str) -> Column:
@@ -141,7 +164,7 @@ def quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     accuracy: int | None = None,
-    exact_rows: int = EXACT_ROWS,
+    gathered: int = GATHERED,
 ) -> DataFrame:
     """``(column, p, value)`` with linear interpolation between neighbours.
 
@@ -159,30 +182,31 @@ def quantiles(
             *[F.percentile_approx(alias, probes, accuracy).alias(alias) for alias in inner.values()]
         )
         return _tall(wide, inner, probabilities)
-    sizes = data.agg(*[F.count(alias).alias(alias) for alias in inner.values()]).first()
-    if all(sizes[alias] <= exact_rows for alias in inner.values()):
-        probes = F.array(*[F.lit(float(p)) for p in probabilities])
-        wide = data.agg(
-            *[F.percentile(alias, probes).alias(alias) for alias in inner.values()]
-        )
-        return _tall(wide, inner, probabilities)
-    return _by_rank(data, inner, probabilities, sizes, exact_rows)
+    return _by_rank(data, inner, probabilities, gathered)
 
 
-def _by_rank(data, inner, probabilities, sizes, exact_rows) -> DataFrame:
+def _by_rank(data: DataFrame, inner: dict[str, str], probabilities: Sequence[float], gathered: int) -> DataFrame:
+    # The first scan: how many values there are, and what lies around each probability.
+    around = [F.lit(min(max(p + d, 0.0), 1.0)) for p in probabilities for d in (-_MARGIN, _MARGIN)]
+    counted = [F.count(alias).alias(f"n_{alias}") for alias in inner.values()]
+    sketched = [F.percentile_approx(alias, F.array(*around), ACCURACY).alias(alias) for alias in inner.values()] if around else []
+    first = data.agg(*counted, *sketched).first()
     ranks: dict[tuple[str, int], _Rank] = {}
     spots: dict[tuple[str, float], tuple[int, int, float]] = {}
     for alias in inner.values():
-        n = sizes[alias]
-        for p in probabilities if n else ():
+        n = first[f"n_{alias}"]
+        for k, p in enumerate(probabilities if n else ()):
             at = p * (n - 1)
             low, high = math.floor(at), math.ceil(at)
             spots[alias, p] = (low, high, at - low)
+            a, b = first[alias][2 * k], first[alias][2 * k + 1]
             for rank in (low, high):
-                ranks.setdefault((alias, rank), _Rank(alias, rank, 0, n))
-    _close_in(data, list(ranks.values()), exact_rows)
-    position = {key: i for i, key in enumerate(ranks)}
-    one, picks = _rank_values(data, list(ranks.values()))
+                ranks.setdefault((alias, rank), _Rank(alias, rank, n, a=a, b=b))
+    while left := [r for r in ranks.values() if not r.done]:
+        _settle(data, left, gathered)
+        again = [r for r in left if not r.done and r.inside > gathered]
+        if again:
+            _propose(data, again)
     arrays = []
     for alias in inner.values():
         values = []
@@ -191,10 +215,10 @@ def _by_rank(data, inner, probabilities, sizes, exact_rows) -> DataFrame:
                 values.append(F.lit(None).cast("double"))
                 continue
             low, high, part = spots[alias, p]
-            a, b = (picks[position[alias, rank]] for rank in (low, high))
-            values.append(a if low == high else a + F.lit(part) * (b - a))
+            a, b = (float(ranks[alias, rank].value) for rank in (low, high))
+            values.append(F.lit(a if low == high else a + part * (b - a)))
         arrays.append(F.array(*values).alias(alias))
-    return _tall(one.select(*arrays), inner, probabilities)
+    return _tall(data.sparkSession.range(1).select(*arrays), inner, probabilities)
 
 
 def _tall(wide: DataFrame, inner: dict[str, str], probabilities: Sequence[float]) -> DataFrame:

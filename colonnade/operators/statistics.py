@@ -112,13 +112,17 @@ def has_categories(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def category_menu(df: DataFrame, column: str, most: int = MENU_CATEGORIES) -> tuple[list[str], int]:
-    """The categories when there are at most ``most`` (else none), and their number."""
+def category_menu(df: DataFrame, column: str, most: int = MENU_CATEGORIES) -> tuple[list[str] | None, int]:
+    """The categories when there are at most ``most``, else None; and their number.
+
+    An empty list so says that there are none, None that there are too many for a menu;
+    :func:`categories` gives any number of them as a frame.
+    """
     found = categories(df, column)
     head = found.limit(most + 1).collect()
     if len(head) <= most:
         return [row["category"] for row in head], len(head)
-    return [], found.count()
+    return None, found.count()
 
 
 # --- counts of many columns at once ---------------------------------------------

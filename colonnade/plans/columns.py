@@ -140,7 +140,7 @@ def _(t):
 @query("stat_percentiles_by_rank", _PERCENTILES)
 def _(t):
     # The way columns too large for one task are handled.
-    found = quantiles.quantiles(t.lineitem, [_PRICE], _PROBABILITIES, exact_rows=2000)
+    found = quantiles.quantiles(t.lineitem, [_PRICE], _PROBABILITIES, gathered=2000)
     return found.select("p", F.round("value", 6).alias("value"))
 
 

@@ -28,10 +28,10 @@ _CANDIDATES = (
 )
 
 
-def _votes(text: Column, lenient_int: bool) -> dict[str, Column]:
-    counts = {"non_null": F.count(text)}
+def _votes(bits: Column) -> dict[str, Column]:
+    counts = {"non_null": F.count(bits)}
     for kind in _CANDIDATES:
-        counts[kind.value.lower()] = F.count(casts.cast_text(text, kind, lenient_int))
+        counts[kind.value.lower()] = F.count_if(bits.bitwiseAND(F.lit(casts.FIT_BITS[kind])) != 0)
     return counts
 
 
@@ -61,7 +61,7 @@ def vote(
 
 def vote_cells(df: DataFrame, cells: Mapping[str, Column], sensitivity: float, lenient_int: bool) -> DataFrame:
     """:func:`vote` on any text expressions of a frame, by their names."""
-    counts = aggregate_columns(df, cells, lambda text: _votes(text, lenient_int))
+    counts = aggregate_columns(df, cells, _votes, lambda text: casts.fits(text, lenient_int))
     return counts.fillna(0).withColumn("logical_type", _winner(sensitivity))
 
 

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.operators import edit, paging, profile
+from colonnade.operators import edit, paging, profile, statistics
 from colonnade.operators import filters as flt
 from colonnade.operators import merge as merging
 from colonnade.operators.ordered import PLACE, file_slice
@@ -99,9 +99,18 @@ class Table:
 
     # --- filters and pages ---
 
-    def add_filters(self, *filters: flt.Filter) -> Table:
+    def add_filters(self, *filters: flt.Filter, free_text: bool = False) -> Table:
+        """Filters that fit their columns' types; see :func:`filters.allowed_operators`.
+
+        Text whose values repeat is picked from its categories, not searched. Whether they do is
+        looked up where a condition depends on it; ``free_text`` takes all text for free text.
+        """
         for item in filters:
-            flt.check_allowed(item, self.kinds[self.column(item.column)])
+            name = self.column(item.column)
+            kind = self.kinds[name]
+            flt.check_allowed(item, kind)
+            if kind is LogicalType.STRING and not free_text and flt.needs_free_text(item):
+                flt.check_allowed(item, kind, statistics.has_categories(self.df, name).first()["has_categories"])
         return replace(self, filters=(*self.filters, *filters))
 
     def above(self, column: int | str, threshold) -> Table:

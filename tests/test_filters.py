@@ -143,3 +143,17 @@ def test_offered_operators():
     flt.check_allowed(flt.longer_than("t", 3), LogicalType.STRING)
     with pytest.raises(ValueError):
         flt.check_allowed(flt.search("n", "1"), LogicalType.INTEGER)
+
+
+def test_text_with_categories_is_picked_not_searched(spark):
+    from colonnade.table import Table
+
+    df = spark.createDataFrame([("F", "one"), ("O", "two"), ("F", "three")], "status string, note string")
+    table = Table(df, "t")
+    for item in (flt.search("status", "F"), flt.where("status", "NOT_EQUAL", "F")):
+        with pytest.raises(ValueError, match="not offered"):
+            table.add_filters(item)
+        assert table.add_filters(item, free_text=True).filters == (item,)
+    assert table.add_filters(flt.search("note", "o")).view().count() == 2
+    assert table.add_filters(flt.equal("status", "F")).view().count() == 2
+    assert table.add_filters(flt.longer_than("status", 0)).view().count() == 3

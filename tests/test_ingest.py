@@ -194,3 +194,18 @@ def test_empty_files_and_clashing_headers_are_refused(spark, tmp_path):
         text.read_text_table(spark, write(tmp_path / "empty.csv", ""), sep=",")
     with pytest.raises(ValueError, match="differ only in case"):
         text.read_text_table(spark, write(tmp_path / "clash.csv", "a,A,b\n1,2,3\n"), sep=",")
+
+
+@pytest.mark.parametrize("lenient", [False, True])
+def test_fits_marks_what_the_casts_read(spark, lenient):
+    texts = ["", " ", "1", "0", "t", "YES", "no", " 7 ", "+7", "-12", "1.5", "1,5", "1e5", "-1e-5", "nan", "-inf", "Infinity", ".5", "5.", ".", "99999999999",
+             "2147483647", "2147483648", "1/2/2023", "31/02/2021", "2023-9-5", "12/31/2023", " 1/2/2023 ", "1-2", "--", "1d", "0x1F", "1_000", "a/1", None, "true ", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    marked = casts.fits(t, lenient).alias("bits")
+    read = [casts.cast_text(t, kind, lenient).isNotNull().alias(kind.value) for kind in casts.FIT_BITS]
+    for row in df.select(t, marked, *read).collect():
+        if row.t is None:
+            assert row.bits is None
+            continue
+        assert {kind for kind, bit in casts.FIT_BITS.items() if row.bits & bit} == {kind for kind in casts.FIT_BITS if row[kind.value]}, row

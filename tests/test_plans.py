@@ -4,6 +4,7 @@ import re
 
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
@@ -109,3 +110,21 @@ def test_no_query_multiplies_tables_or_gathers_them(spark, name):
 def test_frequent_values_combine_before_the_shuffle(lineitem):
     text = plan(statistics.frequencies(lineitem.withColumn("f", F.col("l_returnflag")), "f"))
     assert text.count("HashAggregate") == 2
+
+
+def test_quantiles_take_two_scans_whatever_the_columns(spark, monkeypatch):
+    from colonnade.operators import quantiles
+
+    lineitem = spark.read.parquet(f"{DATA}/sf0.01/lineitem.parquet")
+    scans = []
+    monkeypatch.setattr(DataFrame, "first", lambda df, first=DataFrame.first: scans.append(plan(df)) or first(df))
+    columns = ["l_tax", "l_quantity", "l_extendedprice", "l_shipdate", "l_orderkey"]
+    found = quantiles.quantiles(lineitem, columns, [0.1, 0.5, 0.9], gathered=50_000)
+    assert len(scans) == 2
+    exact = {(r.column, r.p): r.value for r in quantiles.quantiles(lineitem, columns, [0.1, 0.5, 0.9]).collect()}
+    assert {(r.column, r.p): r.value for r in found.collect()} == exact
+    # Where the first bounds leave much between them, the next scan is of the narrow stretch only.
+    del scans[:]
+    again = quantiles.quantiles(lineitem, ["l_extendedprice"], [0.5], gathered=1)
+    assert again.first().value == exact["l_extendedprice", 0.5]
+    assert any("GreaterThan(l_extendedprice" in text and "LessThan(l_extendedprice" in text for text in scans[2:])

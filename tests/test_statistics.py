@@ -111,7 +111,8 @@ def test_categories(spark, main):
     assert statistics.has_categories(main, "flag").first().has_categories is True
     assert statistics.has_categories(main.where("false"), "txt").first().has_categories is False
     many = spark.range(60).selectExpr("cast(id % 30 as string) as t")
-    assert statistics.category_menu(many, "t") == ([], 30)
+    assert statistics.category_menu(many, "t") == (None, 30)
+    assert statistics.category_menu(many.where("false"), "t") == ([], 0)
     assert statistics.category_menu(many, "t", most=30)[1] == 30
     assert statistics.category_menu(main, "flag") == ([False, True], 2)
 
@@ -172,8 +173,8 @@ PROBABILITIES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 
 @pytest.mark.parametrize("shape", ["uniform", "hot", "two", "constant", "integers", "tiny", "empty"])
-@pytest.mark.parametrize("exact_rows", [0, 5, 100])
-def test_quantiles_by_rank_are_exact(spark, shape, exact_rows):
+@pytest.mark.parametrize("gathered", [0, 5, 100])
+def test_quantiles_by_rank_are_exact(spark, shape, gathered):
     rng = random.Random(3)
     xs = {
         "uniform": [rng.uniform(-5, 5) for _ in range(4000)],
@@ -185,7 +186,7 @@ def test_quantiles_by_rank_are_exact(spark, shape, exact_rows):
         "empty": [],
     }[shape]
     df = numbers(spark, [*xs, None]).repartition(4)
-    got = {r.p: r.value for r in quantiles.quantiles(df, ["x"], PROBABILITIES, exact_rows=exact_rows).collect()}
+    got = {r.p: r.value for r in quantiles.quantiles(df, ["x"], PROBABILITIES, gathered=gathered).collect()}
     for p in PROBABILITIES:
         if not xs:
             assert got[p] is None
@@ -195,7 +196,7 @@ def test_quantiles_by_rank_are_exact(spark, shape, exact_rows):
 
 def test_quantiles_of_several_columns(spark):
     df = spark.range(1000).selectExpr("id as a", "cast(id * 2 as int) as b", "timestamp_micros(id * 1000) as c")
-    for options in ({}, {"exact_rows": 50}):
+    for options in ({}, {"gathered": 50}):
         got = {r.column: r.median for r in quantiles.median(df, ["a", "b", "c"], **options).collect()}
         assert got == {"a": 499.5, "b": 999.0, "c": 499500.0}
     near = quantiles.median(df, ["a"], accuracy=100).first().median
