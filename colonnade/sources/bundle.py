@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import shutil
 import zipfile
 from collections.abc import Iterator
@@ -10,7 +11,8 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colonnade.sources.files import listing
 
@@ -21,10 +23,15 @@ class UnsafeEntry(ValueError):
     """An entry whose name leads outside the target folder."""
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+def arrow_uri(uri: str) -> str:
+    """The address of a file as the tasks' own file systems take it: Hadoop's names of S3 and of local files differ."""
     if uri.startswith("file:"):
-        uri = uri.removeprefix("file://").removeprefix("file:")
-    return pafs.FileSystem.from_uri(uri)
+        return uri.removeprefix("file://").removeprefix("file:")
+    return re.sub("^s3[an]://", "s3://", uri)
+
+
+def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def escapes(name: str) -> bool:
@@ -62,13 +69,24 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _home(spark: SparkSession, path: str) -> Column:
+    """The folder of an archive's entries: none for a single archive."""
+    archives = [row["path"] for row in listing(spark, path).select("path").limit(2).collect()]
+    if len(archives) < 2:
+        return F.lit("")
+    stem = F.regexp_extract("archive", r"([^/]*?)(\.zip)?$", 1)
+    # Folders of the archive's path keep equal names apart; the digest stands for them.
+    return F.concat(stem, F.lit("-"), F.substring(F.md5("archive"), 1, 8))
+
+
 def unpack(spark: SparkSession, path: str, target: str) -> list[str]:
     """Unpack all entries below ``target``, entry by entry in parallel.
 
     Nothing is written when any entry would leave the target. ``target`` is a URI
-    every executor can write. Returns the paths of the unpacked files.
+    every executor can write, with the credentials its tasks have. Of a folder of archives each goes to a folder
+    below ``target`` of its own, named like it and a digest of its path. Returns the paths of the unpacked files.
     """
-    found = entries(spark, path)
+    found = entries(spark, path).withColumn("home", _home(spark, path))
     bad = found.where("unsafe").limit(1).collect()
     if bad:
         raise UnsafeEntry(f"{bad[0]['entry']!r} in {bad[0]['archive']} leads outside the target")
@@ -78,8 +96,8 @@ def unpack(spark: SparkSession, path: str, target: str) -> list[str]:
         attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             written = []
-            for archive, entry in zip(batch["archive"], batch["entry"], strict=True):
-                name = posixpath.normpath(entry.replace("\\", "/"))
+            for archive, entry, home in zip(batch["archive"], batch["entry"], batch["home"], strict=True):
+                name = posixpath.join(home, posixpath.normpath(entry.replace("\\", "/")))
                 goal = posixpath.join(root, name)
                 out_fs.create_dir(posixpath.dirname(goal), recursive=True)
                 # Attempts of the same task write apart; the last move wins.
@@ -98,5 +116,5 @@ def unpack(spark: SparkSession, path: str, target: str) -> list[str]:
 
     # Spread by entry, so a bundle that holds most of the data is shared out too.
     spread = found.repartition(_parts(spark), "archive", "entry")
-    done = spread.select("archive", "entry").mapInPandas(write, "path string")
+    done = spread.select("archive", "entry", "home").mapInPandas(write, "path string")
     return sorted(row["path"] for row in done.collect())

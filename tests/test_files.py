@@ -214,3 +214,22 @@ def test_equal_stems_of_a_folder_are_kept_apart(spark, tmp_path):
     (tmp_path / "in" / "a.tsv").write_text("y\tz\n7\t8\n")
     tables = load_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert {t.alias: t.columns for t in tables} == {"a_csv": ["x"], "a_tsv": ["y", "z"]}
+
+
+def test_archives_of_a_folder_keep_equal_entries_apart(spark, tmp_path):
+    for n, name in enumerate(("a/x.zip", "b/x.zip", "b/y.zip")):
+        (tmp_path / "zips" / name).parent.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(tmp_path / "zips" / name, "w") as made:
+            made.writestr("in/data.csv", f"a,b\n{n},x\n")
+    out = str(tmp_path / "out")
+    paths = bundle.unpack(spark, str(tmp_path / "zips"), out)
+    assert len(set(paths)) == 3
+    assert sorted(open(path.removeprefix("file:"), encoding="utf-8").read().split("\n")[1] for path in paths) == ["0,x", "1,x", "2,x"]
+
+
+@pytest.mark.parametrize(("uri", "want"), [
+    ("s3a://bucket/k.zip", "s3://bucket/k.zip"), ("s3n://bucket/k", "s3://bucket/k"), ("s3://b/k", "s3://b/k"),
+    ("file:///tmp/x.zip", "/tmp/x.zip"), ("file:/tmp/x.zip", "/tmp/x.zip"), ("hdfs://n/x", "hdfs://n/x"),
+])
+def test_addresses_as_tasks_take_them(uri, want):
+    assert bundle.arrow_uri(uri) == want
