@@ -40,7 +40,7 @@ def _occurrences(text: Column, sign: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
 
 
-def widths(spark: SparkSession, path: str) -> DataFrame:
+def widths(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, sep, cells, lines, odd, bad)``: how many lines of each file have so many cells under each delimiter.
 
     ``odd`` and ``bad`` count lines with an odd number of quotes and with bytes that are no

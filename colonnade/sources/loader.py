@@ -10,8 +10,11 @@ from pyspark.sql import SparkSession
 from colonnade.sources import bundle, files
 from colonnade.sources.ingest import ingest, typed
 from colonnade.sources.sink import write_table
+from colonnade.sources.together import load_together
 from colonnade.table import Table
 
+_OTHERS = ("zip", "parquet", "json", "jsonl", "ndjson", "xml")
+
 
 def distinct_names(paths: list[str]) -> dict[str, str]:
     """A name for each path: its stem, with the extension where others of its folder have that stem."""
@@ -51,12 +54,24 @@ def load(
 
 
 def load_folder(spark: SparkSession, folder: str, target: str, **options) -> list[Table]:
-    """Every file below a folder as a table of its own, stored by its relative place."""
-    tables = []
+    """Every file below a folder as a table of its own.
+
+    Delimited files are read together, by a number of jobs that does not grow with theirs (see
+    :mod:`colonnade.sources.together`); others, and those that need it, one by one, stored by their relative place.
+    """
     paths = files.table_paths(spark, folder)
     names = distinct_names(paths)
+    home = {path: posixpath.normpath(posixpath.join(_place(path, folder), names[path])) for path in paths}
+    delimited = [path for path in paths if files.extension(path) not in _OTHERS]
+    done: dict[str, Table] = {}
+    if len(delimited) > 1 and set(options) <= {"sep", "sensitivity", "lenient_int"}:
+        done = load_together(spark, {path: home[path] for path in delimited}, target, **options)
+    tables = []
     for path in paths:
-        tables += load(spark, path, posixpath.join(target.rstrip("/"), _place(path, folder)), name=names[path], **options)
+        if path in done:
+            tables.append(done[path])
+        else:
+            tables += load(spark, path, posixpath.join(target.rstrip("/"), _place(path, folder)), name=names[path], **options)
     return tables
 
 

@@ -233,3 +233,33 @@ def test_archives_of_a_folder_keep_equal_entries_apart(spark, tmp_path):
 ])
 def test_addresses_as_tasks_take_them(uri, want):
     assert bundle.arrow_uri(uri) == want
+
+
+def test_many_files_load_by_a_few_jobs(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "deep er").mkdir(parents=True)
+    for n in range(40):
+        (folder / f"t{n:02}.csv").write_text("id,x\n" + "".join(f"{k},{n}.5\n" for k in range(n % 5 + 2)))
+        (folder / "deep er" / f"u{n:02}.txt").write_text(f"day;name;none\n1/2/2023;a{n};\n")
+    (folder / "deep er" / "old+name%.csv").write_bytes("é;y\nÅ;1\n".encode("latin-1"))
+    (folder / "broken.csv").write_text('id,x\n1,"a\nb"\n')
+    (folder / "bare.csv").write_text("id,x\n")
+    (folder / "bad.csv").write_text("id,x\n1,2\n3\n4,5,6\n7,8\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("folder", "folder")
+    with pytest.warns(UserWarning, match="2 malformed lines"):
+        tables = loader.load_folder(spark, str(folder), str(tmp_path / "out"))
+    jobs = len(tracker.getJobIdsForGroup("folder"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tables) == 84 and jobs < 60
+    made = {t.alias: t for t in tables}
+    assert made["t07"].kind("x") is LogicalType.DOUBLE and sorted(values(made["t07"].df, "x")) == [7.5] * 4
+    assert made["u03"].columns == ["day", "name", "none"] and made["u03"].kind("none") is LogicalType.EMPTY
+    assert values(made["u03"].df, "name") == ["a3"] and made["u03"].kind("day") is LogicalType.DATE
+    assert [tuple(r) for r in made["old+name%"].df.collect()] == [("Å", True)] and made["old+name%"].columns == ["é", "y"]
+    assert values(made["broken"].df, "x") == ["a\nb"] and made["bare"].df.count() == 0
+    assert sorted(values(made["bad"].df)) == [1, 7]
+    again = Table.open(spark, made["t07"].path)
+    assert again.df.count() == 4 and again.columns == ["id", "x"]
+    edited = made["t07"].update_cell(1, "x", "9")
+    assert values(edited.df, "x").count(9.0) == 1
