@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions import aggregates as agg
+from colonnade.operators.heavy import frequent
 from colonnade.operators.percolumn import aggregate_columns
 from colonnade.operators.quantiles import date_median
 from colonnade.types import LogicalType, col, field_type, is_nested, require, require_numeric
@@ -76,9 +77,21 @@ def frequency_distribution(df: DataFrame, column: str) -> DataFrame:
     return frequencies(df, column).orderBy(F.desc("frequency"), F.asc("value"))
 
 
+def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The ``k`` most frequent values with their frequencies; equal frequencies by value.
+
+    Two scans that shuffle next to nothing where a sketch proves the answer, see
+    :mod:`colonnade.operators.heavy`; else the column is grouped.
+    """
+    if k < 1:
+        raise ValueError("at least one value must be asked for")
+    proved = frequent(df, column, k)
+    return frequency_distribution(df, column).limit(k) if proved is None else proved
+
+
 def mode(df: DataFrame, column: str) -> DataFrame:
     """The most frequent value, the smallest of them when several tie."""
-    return frequency_distribution(df, column).limit(1)
+    return top_values(df, column, 1)
 
 
 def entropy(df: DataFrame, column: str, base: float = 10.0) -> DataFrame:

@@ -394,3 +394,20 @@ _WHOLE = "CAST(l_orderkey AS BIGINT) * 1000000007 + 9007199254740993"
 def _(t):
     big = F.col("l_orderkey") * F.lit(1000000007) + F.lit(9007199254740993)
     return statistics.whole_statistics(t.lineitem.select(big.alias("big")), ["big"])
+
+
+def _top_sql(column):
+    return (
+        f"SELECT {column} AS value, count(*) AS frequency FROM lineitem WHERE {column} IS NOT NULL "
+        f"GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"
+    )
+
+
+@query("stat_top_values", _top_sql("l_quantity"))
+def _(t):
+    return statistics.top_values(t.lineitem, "l_quantity", 20)
+
+
+@query("stat_top_values_near_unique", _top_sql("l_orderkey"))
+def _(t):
+    return statistics.top_values(t.lineitem, "l_orderkey", 20)

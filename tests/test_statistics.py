@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colonnade.functions import aggregates as agg
-from colonnade.operators import profile, quantiles, statistics
+from colonnade.operators import heavy, profile, quantiles, statistics
 from colonnade.types import LogicalType
 from tests.conftest import values
 
@@ -222,3 +222,29 @@ def test_times_survive_zone_changes_and_fractions(spark):
     epoch = datetime.datetime(1970, 1, 1)
     assert all(r.t == r.back for r in rows)
     assert [r.n for r in rows] == [(r.t - epoch) // datetime.timedelta(microseconds=1) for r in rows]
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "double", "date", "timestamp_ntz", "boolean", "decimal(9,2)"])
+def test_top_values_equal_grouping(spark, kind):
+    rows = spark.range(4000).select(F.when(F.col("id") % 50 == 0, None).otherwise(F.least(F.col("id") % 97, F.col("id") % 13)).alias("n"))
+    made = {
+        "string": F.format_string("v'%d", "n"), "double": F.when(F.col("n") == 3, F.lit(float("nan"))).otherwise(F.col("n") / 4),
+        "date": F.date_add(F.lit("2024-02-27").cast("date"), F.col("n").cast("int")), "boolean": F.col("n") > 4,
+        "timestamp_ntz": (F.lit("2024-03-31 01:30:00").cast("timestamp") + F.make_interval(hours="n")).cast("timestamp_ntz"),
+    }
+    df = rows.select(made.get(kind, F.col("n").cast(kind)).alias("v"))
+    want = statistics.frequency_distribution(df, "v").limit(5).collect()
+    got = statistics.top_values(df, "v", 5)
+    assert str(got.collect()) == str(want) and got.schema["value"].dataType == df.schema["v"].dataType
+    assert (heavy.frequent(df, "v", 5) is None) == (kind == "decimal(9,2)")
+    assert str(statistics.mode(df, "v").collect()) == str(want[:1])
+
+
+def test_a_sketch_decides_only_what_its_bound_proves(spark):
+    near_unique = spark.range(60_000).select(F.when(F.col("id") < 5, F.lit(7)).otherwise(F.col("id")).alias("v"))
+    assert heavy.frequent(near_unique, "v", 1) is None
+    assert [tuple(r) for r in statistics.top_values(near_unique, "v", 1).collect()] == [(7, 6)]
+    skewed = near_unique.withColumn("v", F.when(F.col("v") % 10 == 0, F.lit(-1)).otherwise(F.col("v")))
+    assert [tuple(r) for r in heavy.frequent(skewed, "v", 1).collect()] == [(-1, 5999)]
+    assert heavy.frequent(skewed, "v", 2) is None
+    assert statistics.top_values(skewed.where("false"), "v", 3).collect() == []
