@@ -12,8 +12,11 @@ round never needs more sequences than the one before.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from colonnade.llm.shared import small_batches, written
+from colonnade.llm.shared import remembers, small_batches, working_on, written
 
 #: Tokens of one sequence.
 CAPACITY = 1024
 #: The id that ends every document.
 END_ID = 2
-#: Words whose ids a worker remembers; it starts anew beyond.
+#: Words whose ids a worker remembers, in two generations; the older one is dropped when the newer is half of this.
 CACHED_WORDS = 500_000
 #: Pieces that one task packs together.
 SHARD_PIECES = 8_000
@@ -48,34 +51,86 @@ _MARKS = ",.;:!?"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
+# Fixed value: the parts that byte-level tokenizers cut a text into.
+_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Characters on which all versions of Unicode's tables agree whether they are letters, digits or white space.
+_SAFE = re.compile(r"[\t\n\r -~\u00A0-\u02AF\u0391-\u03A1\u03A3-\u03C9\u0410-\u044F\u2010-\u2027\u2030-\u205E\u20AC\u2122]*")
+
+
+def by_rank(model: str):
+    """The same tokenizer in a form that is fast for single words, or None where it cannot be had.
+
+    A byte-level tokenizer whose merges come in the order of their results' ids merges by those ids.
+    """
+    import tiktoken
+
+    spec = json.loads(model)
+    bpe = spec["model"]
+    level = spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and bpe.get("type") == "BPE" and not bpe.get("dropout")
+    if not plain or level.get("type") != "ByteLevel" or level.get("add_prefix_space") or level.get("use_regex") is False or sys.byteorder != "little":
+        return None
+    # The printable stand-ins of bytes in such files: printable ones are themselves, the others follow from 256 on.
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in bpe["merges"]]
+    made = [bpe["vocab"].get(a + b, -1) for a, b in merges]
+    ranks = {bytes(byte_of[c] for c in token): n for token, n in bpe["vocab"].items() if all(c in byte_of for c in token)}
+    singles = [ranks.get(bytes([b]), -1) for b in range(256)]
+    known = set(singles) | set(made)
+    if min(singles + made) < 0 or made != sorted(set(made)) or (made and max(singles) > made[0]):
+        return None
+    return tiktoken.Encoding("words", pat_str=_PARTS, mergeable_ranks={t: n for t, n in ranks.items() if n in known}, special_tokens={})
+
+
 class Encoder:
     """Ids of whole texts, as little-endian 32-bit numbers, with a memory of words.
 
     The tokenizer's pattern always begins a new part at a single space, and at a single
     line break and after it, between characters that are no white space; so the ids of a
     text are those of its words (each with the space before it) put together. Texts with
-    any other white space are cut only at such single spaces.
+    any other white space are cut only at such single spaces. That serves texts with characters
+    on which tables of letters may differ; all others are encoded whole by rank, where the tokenizer allows it.
     """
 
     def __init__(self, model: str, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(model)
+        self.by_rank = by_rank(model)
+        self.added = [token["content"] for token in json.loads(model).get("added_tokens") or ()]
         self.cached_words = cached_words
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {"": b""}
+        # The words of the generation before: those that come again move to the new one.
+        self.earlier: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
         self.line_break, *marks = self._encode(["\n", *_MARKS])
         self.marks = dict(zip(_MARKS, marks, strict=True))
 
+    def _ranked(self, text: str) -> bytes | None:
+        """The ids of a text by rank, or None where they might not be the tokenizer's."""
+        if self.by_rank is None or not _SAFE.fullmatch(text) or any(token in text for token in self.added):
+            return None
+        return array("I", self.by_rank.encode_ordinary(text)).tobytes()
+
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+        """The ids of short texts: by rank where that is the same for sure, else by the tokenizer."""
+        quick = [self._ranked(t) for t in texts]
+        odd = [t for t, ids in zip(texts, quick, strict=True) if ids is None]
+        slow = iter([np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(odd, add_special_tokens=False)])
+        return [next(slow) if ids is None else ids for ids in quick]
 
     def _learn(self, cache: dict[str, bytes], words: set[str], before: str) -> None:
-        if len(cache) > self.cached_words:
+        if len(cache) > self.cached_words // 2:
+            self.earlier[before] = dict(cache)
             cache.clear()
             if not before:
                 cache[""] = b""
         new = words.difference(cache)
+        earlier = self.earlier[before]
+        if earlier:
+            again = new.intersection(earlier)
+            cache.update((w, earlier[w]) for w in again)
+            new -= again
         # After a letter or digit, a mark at the end is a part of its own.
         marked = [w for w in new if w[-1:] in _MARKS and w[-2:-1].isalnum()]
         new.difference_update(marked)
@@ -96,6 +151,13 @@ class Encoder:
         return [line.split(" ") for line in text.split("\n")]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text: whole by rank where that is sure, else word by word."""
+        quick = [self._ranked(t) for t in texts]
+        slow = self._by_words([t for t, ids in zip(texts, quick, strict=True) if ids is None])
+        for ids in quick:
+            yield next(slow) if ids is None else ids
+
+    def _by_words(self, texts: list[str]) -> Iterator[bytes]:
         cut = [self._cut(t) for t in texts]
         spaced: set[str] = set()
         bare: set[str] = set()
@@ -120,6 +182,9 @@ def encoder_of(model: str) -> Encoder:
     return Encoder(model)
 
 
+remembers("packing", encoder_of.cache_clear)
+
+
 def tokenized(documents: DataFrame, model_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length and ids.
 
@@ -137,6 +202,7 @@ def tokenized(documents: DataFrame, model_file: str, capacity: int = CAPACITY, e
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("packing")
         encoder = encoder_of(model.value)
         for batch in batches:
             for low in range(0, len(batch), 250):  # few documents at once: the pieces of a batch can be many
@@ -286,6 +352,7 @@ def _dealt(items: DataFrame, shards: int) -> DataFrame:
     """Each task deals its pieces, sorted by length, to the shards in turn, so that all shards get the same mix of lengths."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("packing")
         at = TaskContext.get().partitionId() * 7919
         for batch in batches:
             yield batch.assign(shard=(at + np.arange(len(batch))) % shards)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +62,32 @@ def small_batches(spark: SparkSession) -> BatchSize:
     return BatchSize(spark, now)
 
 
+_working_on = ""
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """Say how a worker process forgets what an operator's tasks have remembered in it."""
+    _forget[operator] = forget
+
+
+def working_on(operator: str) -> None:
+    """Called at the start of an operator's task: the worker, if it served another one, gives back the memory that one used.
+
+    Workers outlive stages; without this each operator would find them as large as the largest before it left them.
+    """
+    global _working_on
+    if _working_on == operator:
+        return
+    for other, forget in _forget.items():
+        if other != operator:
+            forget()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have this
+        ctypes.CDLL(None).malloc_trim(0)
+    _working_on = operator
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

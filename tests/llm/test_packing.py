@@ -27,6 +27,29 @@ def test_words_put_together_are_the_tokenizers_ids(model):
             assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_by_rank_are_the_tokenizers(model):
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_str(model), random.Random(4)
+    assert packing.by_rank(model) is not None
+    encoder = packing.Encoder(model, cached_words=40)
+    letters = "aeinrst'.,-!?0127ABÄéßřǅ%$_#/\\~|" + "ж漢😀<"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(4000)] + ["<|endoftext|>", "don't", "we'll'd"]
+    for before in ("", " "):
+        texts = [before + w for w in words]
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder._encode(texts)]
+        assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    # So are whole texts; small generations of words give the same, too.
+    gaps = [" ", " ", " ", "  ", "\n", "\n\n", "\t", " \r\n", "\u00a0", "\u2003", "\x85"]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(30)) for _ in range(200)]
+    plain = [w for w in words if packing._SAFE.fullmatch(w)]
+    texts += ["".join(rng.choice(plain) + rng.choice(gaps[:9]) for _ in range(30)) for _ in range(200)]
+    texts += ["".join(map(chr, range(0xA0, 0x2B0))), " ".join(map(chr, range(0x2010, 0x205F))), "α΢Ω жЯ €5 ™", "<|endoftext|> x", "a <|endoftext|>"]
+    assert 150 < sum(encoder._ranked(t) is not None for t in texts) < len(texts)
+    got = [np.frombuffer(b, "<u4").tolist() for at in range(0, len(texts), 10) for b in encoder.encode(texts[at : at + 10])]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def check(rows, capacity):
     by_sequence = defaultdict(list)
     for r in rows:
