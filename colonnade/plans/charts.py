@@ -141,6 +141,23 @@ def _(t):
     return _rounded(chart.scaled(_two(t), marks="points"), height=6)
 
 
+_BALANCES = (
+    "SELECT c_mktsegment AS series, c_nationkey AS category, sum(c_acctbal) AS value FROM customer "
+    "WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING' GROUP BY 1, 2"
+)
+
+
+@query(
+    "chart_scaled_points_negative",
+    "SELECT series, category, round(value, 2) AS value, round(value / CASE WHEN max(value) OVER s > 0 THEN max(value) OVER s ELSE 1 END, 2) AS height "
+    f"FROM ({_BALANCES}) WINDOW s AS (PARTITION BY series)",
+)
+def _(t):
+    """Series without a positive value keep their heights."""
+    seen = t.customer.where("c_acctbal < 0 OR c_mktsegment = 'BUILDING'")
+    return _rounded(chart.scaled(chart.group_series(seen, "c_mktsegment", "c_nationkey", "c_acctbal"), marks="points"), height=2)
+
+
 @query(
     "chart_area_scaled",
     f"SELECT series, category, round(value, 2) AS value, round(value / max(value) OVER (), 6) AS height FROM ({_TWO})",

@@ -43,6 +43,18 @@ def _(t):
     return paging.sort(flt.apply(t.orders, spec), flt.ordering(spec))
 
 
+@query(
+    "sort_last_wins",
+    "SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS place "
+    "FROM orders WHERE o_orderstatus = 'P'",
+)
+def _(t):
+    """Of several sorts in the filters the last one orders the rows, shown by their places."""
+    spec = [flt.equal("o_orderstatus", "P"), flt.sort_by("o_totalprice"), flt.sort_by("o_orderdate", False)]
+    order = [*flt.ordering(spec), ("o_orderkey", True)]
+    return ordered.number_rows(flt.apply(t.orders, spec), order, "place").select("o_orderkey", "o_orderdate", "place")
+
+
 @query(
     "top_k",
     "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
