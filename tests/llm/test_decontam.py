@@ -29,12 +29,66 @@ def test_myers_and_matcher_equal_brute_force():
         text = decontam.plain(" ".join([word(), word(), "".join(noisy), word()]))
         want = edits(pattern, text)
         assert decontam.myers(pattern, text)[0] == want
-        found = decontam.Matcher([(1, pattern)], passage_chars=10_000).matches(text)
+        found = decontam.Matcher([(1, pattern)], passage_chars=10_000, min_chars=0).matches(text)
         assert (1 in found) == (want <= len(pattern) // 10)
         if found:
             assert found[1][0] == want
 
 
+def test_windows_equal_brute_force():
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    hits = 0
+    for k in range(120):
+        item = decontam.plain(" ".join(word() for _ in range(rng.randint(30, 70))))
+        noisy = list(item[rng.randrange(20) : len(item) - rng.randrange(20)])
+        # Edits here and there, or all in one half.
+        spread = len(noisy) if k % 2 else len(noisy) // 2
+        for _ in range(rng.randint(0, len(noisy) // 4)):
+            at = rng.randrange(min(spread, len(noisy)))
+            noisy[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z", " "])
+        text = decontam.plain(" ".join([word(), word(), "".join(noisy), word()]))
+        counted = [(edits(p, f" {text} "), len(p) // 10) for p in decontam.passages(item)]
+        least = min((e for e, budget in counted if e <= budget), default=None)
+        found = decontam.Matcher([(1, item)]).matches(text)
+        assert (found[1][0] if found else None) == least
+        hits += bool(found)
+    assert 20 < hits < 115
+
+
+def test_the_registered_query_equals_brute_force_with_edits(spark, tmp_path):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([6, 9, 12, 30, 45, 60, 80])]
+    docs = []
+    for doc_id in range(60):
+        quote = list(rng.choice(items)[1])
+        begin = rng.randrange(1 + len(quote) // 3)
+        quote = quote[begin:]
+        for _ in range(rng.choice([0, 0, 1, 3, 9, 20])):
+            at = rng.randrange(len(quote))
+            quote[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "Y", "-"])
+        docs.append((doc_id, f"{word()} {''.join(quote)}. {word()}" if rng.random() < 0.9 else None))
+    documents(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for item_id, item in items:
+        item = decontam.plain(item)
+        for doc_id, text in docs:
+            text = decontam.plain(text or "")
+            if len(item) < decontam.MIN_CHARS:
+                if len(item) >= decontam.MIN_EXACT_CHARS and f" {item} " in f" {text} ":
+                    want.add((doc_id, item_id, 0))
+                continue
+            near = [e for p in decontam.passages(item) if (e := edits(p, f" {text} ")) <= len(p) // 10]
+            if near:
+                want.add((doc_id, item_id, min(near)))
+    from colonnade.llm import queries
+
+    assert {(r.doc_id, r.item_id, r.edits) for r in queries.op1_decontaminate(spark, str(tmp_path)).collect()} == want
+    assert len({i for _, i, _ in want}) >= 5 and any(e > 0 for *_, e in want)
+
+
 def test_finds_copies_edits_and_quotes(spark):
     noisy = ITEM.replace("quick", "quikc").replace("lazy", "laszy").upper()
     rows = [(10, f"Before. {ITEM} After."), (11, f"x {noisy} y"), (12, "nothing of the kind here"), (13, ITEM[:50])]
@@ -79,5 +133,6 @@ def test_the_registered_query_equals_exact_search(spark):
     got = {(r.doc_id, r.item_id) for r in queries.op1_decontaminate(spark, folder).where("edits = 0").collect()}
     docs = {r.doc_id: decontam.plain(r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     items = {r.item_id: decontam.plain(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
-    passages = {(i, p) for i, t in items.items() for p in decontam.passages(t) if len(t) >= decontam.MIN_CHARS}
-    assert got == {(d, i) for d, t in docs.items() for i, p in passages if p in t}
+    assert all(len(t) >= decontam.MIN_CHARS for t in items.values())
+    passages = {(i, p) for i, t in items.items() for p in decontam.passages(t)}
+    assert got == {(d, i) for d, t in docs.items() for i, p in passages if p in f" {t} "}
