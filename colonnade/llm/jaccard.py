@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from colonnade.llm.components import components
-from colonnade.llm.shared import shuffle_partitions, small_batches, small_or_joined, written
+from colonnade.llm.shared import shuffle_partitions, small_batches, small_or_joined, working_on, written
 from colonnade.llm.shingles import mixed, shingle_sets
 
 #: Words of a shingle.
@@ -87,6 +87,7 @@ def profile(documents: DataFrame, width: int, bits: int) -> DataFrame:
     slots = 1 << bits
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("jaccard")
         counts = np.zeros(slots, dtype=np.int64)
         for batch in batches:
             shingles, bounds = shingle_sets(list(batch["text"]), width)
@@ -133,6 +134,7 @@ def entries(documents: DataFrame, rare, width: int, bits: int, rule: Rule) -> Da
     """The first shingles of every set in the global order, with their places."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("jaccard")
         levels, seen = rare.value, set()
         for batch in batches:
             shingles, bounds = shingle_sets(list(batch["text"]), width)
@@ -170,6 +172,7 @@ def segments(documents: DataFrame, wanted: DataFrame, rare, width: int, bits: in
     texts = texts.join(small_or_joined(ids), "doc_id", "left_semi")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("jaccard")
         levels = rare.value
         for batch in batches:
             shingles, bounds = shingle_sets(list(batch["text"]), width)
@@ -210,6 +213,7 @@ def _partial_overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("jaccard")
         for batch in batches:
             left, right = [_unpacked(x) for x in batch["left"]], [_unpacked(x) for x in batch["right"]]
             shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
@@ -316,6 +320,7 @@ def with_set_class(documents: DataFrame, name: str, width: int = WIDTH) -> DataF
     schema = T.StructType([*documents.schema, T.StructField(name, T.LongType())])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("jaccard")
         for batch in batches:
             shingles, bounds = shingle_sets(["" if t is None else t for t in batch["text"]], width)
             names = pd.Series(set_class(shingles, bounds), index=batch.index, dtype="Int64")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.llm.shared import small_batches
+from colonnade.llm.shared import small_batches, working_on
 
 #: Labelled documents that the model is fitted on at most, those with the smallest hashes.
 TRAINING_ROWS = 20_000
@@ -64,6 +64,7 @@ def letter_model(documents: DataFrame) -> np.ndarray:
     """Log probabilities of a character after two others, from the texts of all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("toxicity")
         total = np.zeros(_CODES**3, dtype=np.int64)
         for batch in batches:
             for low in range(0, len(batch), 200):
@@ -259,6 +260,7 @@ def fit(documents: DataFrame, labels: DataFrame, training_rows: int = TRAINING_R
     shared = spark.sparkContext.broadcast(letters)
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("toxicity")
         reader = Reader(shared.value)
         for batch in batches:
             for low in range(0, len(batch), 250):
@@ -287,6 +289,7 @@ def fit(documents: DataFrame, labels: DataFrame, training_rows: int = TRAINING_R
     carried = spark.sparkContext.broadcast(model)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("toxicity")
         scorer = carried.value.reader()
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "x": [[float(v) for v in scorer.features(t)] for t in batch["text"]]})
@@ -339,6 +342,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in added.items())])
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("toxicity")
         scorer = shared.value.reader()
         for batch in batches:
             found = scorer.scores(["" if t is None else t for t in batch["text"]])
