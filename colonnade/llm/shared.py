@@ -72,20 +72,19 @@ def remembers(operator: str, forget: Callable[[], None]) -> None:
 
 
 def working_on(operator: str) -> None:
-    """Called at the start of an operator's task: the worker, if it served another one, gives back the memory that one used.
+    """Called at the start of an operator's task: the worker forgets what other operators remembered, and gives free memory back.
 
-    Workers outlive stages; without this each operator would find them as large as the largest before it left them.
+    Workers outlive stages; without this each task would find them as large as the largest before it left them.
     """
     global _working_on
-    if _working_on == operator:
-        return
-    for other, forget in _forget.items():
-        if other != operator:
-            forget()
-    gc.collect()
+    if _working_on != operator:
+        for other, forget in _forget.items():
+            if other != operator:
+                forget()
+        gc.collect()
+        _working_on = operator
     with contextlib.suppress(OSError, AttributeError):  # only some C libraries have this
         ctypes.CDLL(None).malloc_trim(0)
-    _working_on = operator
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
