@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade.llm import boosting
-from colonnade.llm.shared import small_batches, working_on
+from colonnade.llm.prefix import sums_before
+from colonnade.llm.shared import small_batches, working_on, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Proposals that the trees are fitted on at most, those with the smallest hashes.
-TRAINING_ROWS = 20_000
 #: Precision that a kind's threshold has to keep on the held-back proposals.
 PRECISION = 0.99
 
@@ -210,13 +209,24 @@ class Detector:
         return out
 
 
-def fit(documents: DataFrame, training_rows: int = TRAINING_ROWS, precision: float = PRECISION) -> Detector:
-    """Fit trees and thresholds on at most ``training_rows`` proposals from all of ``documents``.
+def fit(documents: DataFrame, precision: float = PRECISION) -> Detector:
+    """Fit trees and thresholds on all labelled proposals of all ``documents``.
 
-    All texts are searched; the sample is those proposals whose hashes are smallest, the
-    same on every run. A table without proposals gives a detector that selects strict
+    Of every four equal proposals one is held back for the thresholds. A table without
+    proposals, or without positive or negative ones, gives a detector that selects strict
     spans only.
     """
+    found = written(proposals(documents), "pii-proposals")
+    if found.agg(F.count_distinct("label")).first()[0] < 2:
+        return Detector(boosting.fit(np.zeros((0, len(FEATURES))), np.zeros(0), trees=0), (2.0,) * len(KINDS))
+    taught = written(found.withColumn("n", F.expr("n - held")).where("n > 0").mapInPandas(_with_hidden, boosting.ROWS), "pii-taught")
+    edges = boosting.table_edges(taught, len(FEATURES))
+    trees = boosting.fit_table(written(boosting.table_codes(taught, edges), "pii-codes"), edges)
+    return Detector(trees, thresholds(found, trees, precision))
+
+
+def proposals(documents: DataFrame) -> DataFrame:
+    """The labelled proposals of all texts: label, x (the features as 32-bit floats), how often (n), and how many of these are held back."""
     small_batches(documents.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,20 +237,24 @@ def fit(documents: DataFrame, training_rows: int = TRAINING_ROWS, precision: flo
                 strict, loose = propose(text)
                 out += [(1, features(text, s)) for s in strict]
                 out += [(0, features(text, s)) for s in loose if _refuted(text, s, strict)]
-            yield pd.DataFrame(out, columns=["label", "x"])
+            yield pd.DataFrame([(y, np.asarray(x, dtype="<f4").tobytes()) for y, x in out], columns=["label", "x"])
+
+    found = documents.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, "label int, x binary")
+    counted = found.groupBy("label", "x").agg(F.count("*").alias("n"))
+    return counted.withColumn("held", F.expr("(n + pmod(xxhash64(label, x), 4)) div 4"))
 
-    found = documents.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, "label int, x array<double>")
-    sample = found.orderBy(F.xxhash64("label", "x"), "label", "x").limit(training_rows).toPandas()
-    if sample.empty or sample["label"].nunique() < 2:
-        return Detector(boosting.fit(np.zeros((0, len(FEATURES))), np.zeros(0), trees=0), (2.0,) * len(KINDS))
-    x, y = np.stack(sample["x"].to_numpy()), sample["label"].to_numpy().astype(float)
-    held = np.arange(len(x)) % 4 == 0
-    hidden = x[(y == 1) & ~held].copy()
-    for kind, names in _SIGN.items():
-        for name in names:
-            hidden[hidden[:, kind] == 1, FEATURES.index(name)] = 0
-    trees = boosting.fit(np.concatenate([x[~held], hidden]), np.concatenate([y[~held], np.ones(len(hidden))]))
-    return Detector(trees, tuple(_threshold(trees.probability(x[held]), y[held], x[held][:, k] == 1, precision) for k in range(len(KINDS))))
+
+def _with_hidden(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Proposals, and each positive again with its telltale sign hidden."""
+    for batch in batches:
+        batch = batch[["label", "x", "n"]]
+        yield batch
+        positive = batch[batch["label"] == 1]
+        x = boosting.unpacked(positive["x"], "<f4", len(FEATURES)).copy()
+        for kind, names in _SIGN.items():
+            for name in names:
+                x[x[:, kind] == 1, FEATURES.index(name)] = 0
+        yield positive.assign(x=[row.tobytes() for row in x])
 
 
 def _refuted(text: str, span: Span, strict: list[Span]) -> bool:
@@ -260,15 +274,27 @@ def _refuted(text: str, span: Span, strict: list[Span]) -> bool:
     return kind == 1 or (kind == 3 and s.startswith("+") and not 8 <= len(digits_of(s)) <= 15)
 
 
-def _threshold(p: np.ndarray, y: np.ndarray, of_kind: np.ndarray, precision: float) -> float:
-    """The lowest score from which the share of positives stays at least ``precision``; at least one half."""
-    p, y = p[of_kind], y[of_kind]
-    if not len(p):
-        return 0.5
-    order = np.argsort(-p, kind="stable")
-    share = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
-    good = np.flatnonzero(share >= precision)
-    return max(0.5, float(p[order][good[-1]])) if len(good) else 2.0
+def thresholds(found: DataFrame, trees: boosting.Boosted, precision: float) -> tuple[float, ...]:
+    """For each kind, the lowest score from which the share of positives among all held-back proposals stays at least ``precision``.
+
+    At least one half, which is also that of a kind without proposals; above 1 where no score keeps the precision.
+    """
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = boosting.unpacked(batch["x"], "<f4", len(FEATURES)).astype(float)
+            kind, n = x[:, : len(KINDS)].argmax(axis=1).astype(np.int32), batch["held"]
+            yield pd.DataFrame({"kind": kind, "p": trees.probability(x), "n": n, "positive": n * batch["label"]})
+
+    scored = found.where("held > 0").mapInPandas(score, "kind int, p double, n long, positive long")
+    scored = scored.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+    placed = sums_before(scored, [F.col("kind"), F.desc("p")], {"n_before": F.col("n"), "positive_before": F.col("positive")})
+    placed = written(placed, "pii-scored")
+    first = placed.groupBy("kind").agg(F.min("n_before").alias("n_first"), F.min("positive_before").alias("positive_first"))
+    share = F.expr("(positive_before + positive - positive_first) / (n_before + n - n_first)")
+    rows = placed.join(F.broadcast(first), "kind").groupBy("kind").agg(F.min(F.when(share >= precision, F.col("p"))).alias("p")).collect()
+    lowest = {r.kind: 2.0 if r.p is None else max(0.5, r.p) for r in rows}
+    return tuple(lowest.get(k, 0.5) for k in range(len(KINDS)))
 
 
 def joined(spans: list[Span]) -> str:

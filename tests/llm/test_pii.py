@@ -114,3 +114,40 @@ def test_boosting_learns_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     model = boosting.fit(x[:3000], y[:3000])
     assert ((model.probability(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
+
+
+def test_thresholds_keep_the_precision_on_all_held_back_proposals(spark):
+    """More proposals than the 20 000 that were once looked at, of which few refuted ones look like the strict ones."""
+    rng = random.Random(8)
+    texts = [f"card {numbered(rng, 16)} and {rng.randrange(10**15, 10**16)} not, {rng.randrange(10**11, 10**12)} {rng.randrange(999)}" for _ in range(12_000)]
+    docs = documents(spark, list(enumerate(texts)))
+    rows, labels = [], []
+    for t in texts:
+        strict, loose = pii.propose(t)
+        for y, spans in ((1, strict), (0, [s for s in loose if pii._refuted(t, s, strict)])):
+            rows += [pii.features(t, s) for s in spans]
+            labels += [y] * len(spans)
+    found = pii.proposals(docs).collect()
+    assert len(rows) > 20_000 and sum(r.n for r in found) == len(rows)
+    assert sum(r.n for r in found if r.label == 1) == sum(labels)
+    assert all(abs(r.held - r.n / 4) < 1 for r in found)
+    detector = pii.fit(docs)
+    x = np.stack([np.frombuffer(r.x, dtype="<f4") for r in found]).astype(float)
+    p = detector.trees.probability(x)
+    for kind in range(4):
+        held = [(q, r.held, r.label * r.held) for q, r, v in zip(p, found, x) if v[kind] == 1 and r.held]
+        share = lambda low: sum(y for q, _, y in held if q >= low) / sum(n for q, n, _ in held if q >= low)  # noqa: E731, B023
+        good = [q for q, _, _ in held if share(q) >= pii.PRECISION]
+        want = 0.5 if not held else max(0.5, min(good)) if good else 2.0
+        assert detector.thresholds[kind] == want
+
+
+def test_trees_of_a_table_are_those_of_all_its_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 60, size=(3000, 3)).astype(float)
+    y = ((x[:, 0] > 30) ^ (x[:, 1] > 20)).astype(int)
+    rows = spark.createDataFrame([(int(b), bytearray(a.astype("<f4").tobytes()), 1) for a, b in zip(x, y)], boosting.ROWS).repartition(3)
+    edges = boosting.table_edges(rows, 3)
+    table = boosting.fit_table(boosting.table_codes(rows, edges), edges, trees=5)
+    plain = boosting.fit(x, y.astype(float), trees=5)
+    assert (table.features == plain.features).all() and (table.cuts == plain.cuts).all() and np.allclose(table.leaves, plain.leaves)
