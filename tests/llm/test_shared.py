@@ -31,3 +31,17 @@ def test_a_worker_forgets_other_operators():
     shared.working_on("two")
     assert "one" in gone and "two" not in gone
     del shared._forget["one"], shared._forget["two"]
+
+
+def test_dropped_deletes_the_written_table_and_nothing_else(spark, tmp_path):
+    import os
+
+    from colonnade.llm.shared import dropped, shared_dir, written
+
+    kept, gone, other = written(spark.range(3), "kept"), written(spark.range(3), "gone"), str(tmp_path / "other")
+    spark.range(3).write.parquet(other)
+    folder = os.path.dirname(gone.inputFiles()[0].removeprefix("file:").replace("///", "/"))
+    assert os.path.isdir(folder) and folder.startswith(shared_dir(spark).removeprefix("file:"))
+    dropped(gone)
+    dropped(spark.read.parquet(other))
+    assert not os.path.exists(folder) and kept.count() == 3 and spark.read.parquet(other).count() == 3
