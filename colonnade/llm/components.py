@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.shared import written
+from colonnade.llm.shared import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         after = written(small.where("u <> v").distinct(), "links")
         same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
+        dropped(edges)
         edges = after
         if same:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from colonnade.llm.components import components
-from colonnade.llm.shared import shuffle_partitions, small_batches, small_or_joined, working_on, written
+from colonnade.llm.shared import dropped, shuffle_partitions, small_batches, small_or_joined, working_on, written
 from colonnade.llm.shingles import mixed, shingle_sets
 
 #: Words of a shingle.
@@ -91,7 +91,8 @@ def profile(documents: DataFrame, width: int, bits: int) -> DataFrame:
         counts = np.zeros(slots, dtype=np.int64)
         for batch in batches:
             shingles, bounds = shingle_sets(list(batch["text"]), width)
-            counts += np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=slots)
+            slot, n = np.unique((shingles >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
+            counts[slot] += n
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"].astype("Int64"), "n": np.diff(bounds), "class": set_class(shingles, bounds), "part": -1, "counts": None}
             )
@@ -257,7 +258,10 @@ class Join:
         left = written(first.where(self.rule.reachable(room, size_a, size_b)).select(*_PAIR, "shared"), "shingle-left")
         rest = _partial_overlaps(left, cut.where("fragment > 0")).select(*_PAIR, "shared")
         total = left.unionByName(rest).groupBy(*_PAIR).agg(F.sum("shared").alias("shared"))
-        return total.where(self.rule.reachable(F.col("shared"), size_a, size_b)).select("a", "b")
+        found = written(total.where(self.rule.reachable(F.col("shared"), size_a, size_b)).select("a", "b"), "links")
+        for done in (pairs, wanted, cut, left):
+            dropped(done)
+        return found
 
 
 def _possible(rule: Rule, n: Column, place: Column, m: Column, other: Column) -> Column:
@@ -310,9 +314,12 @@ def link_classes(join: Join) -> DataFrame:
     shared = shared.withColumn("low", F.min("class").over(bucket)).withColumn("high", F.max("class").over(bucket))
     shared = written(shared.where("low <> high").drop("low", "high").distinct(), "shingle-entries")
 
-    links = written(join.verified(_star(shared, rule)), "links")
+    links = join.verified(_star(shared, rule))
     open_ = _labelled(shared, components(links))
-    return components(written(links.unionByName(join.verified(_across(open_, rule))), "links"))
+    dropped(shared)
+    more = join.verified(_across(open_, rule))
+    dropped(open_)
+    return components(links.unionByName(more))
 
 
 def with_set_class(documents: DataFrame, name: str, width: int = WIDTH) -> DataFrame:
