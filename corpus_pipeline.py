@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colonnade.llm import decontam, jaccard, packing, pii, toxicity
 from colonnade.llm.queries import model_file
-from colonnade.llm.shared import small_or_joined, table, written
+from colonnade.llm.shared import dropped, small_or_joined, table, written
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,6 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
