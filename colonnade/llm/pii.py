@@ -334,17 +334,17 @@ def redact(documents: DataFrame, detector: Detector) -> DataFrame:
     Overlapping strict spans are replaced as one, under the kind of the first. A null
     text stays null.
     """
-    found = detect(documents, detector)
+    small_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(detector)
 
+    # Spans are found and replaced in one pass: each Python pass of a stage keeps a worker of its own alive on every core.
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         working_on("pii")
         for batch in batches:
-            texts = [t if not spans else _replaced(t, spans) for t, spans in zip(batch["text"], batch["all_spans"], strict=True)]
-            batch = batch.drop(columns=["strict_spans", "all_spans"]).assign(text=texts)
-            yield batch
+            found = shared.value.select(["" if t is None else t for t in batch["text"]])
+            yield batch.assign(text=[_replaced(t, joined(spans)) if spans else t for t, (_, spans) in zip(batch["text"], found, strict=True)])
 
-    schema = T.StructType([f for f in found.schema if f.name not in ("strict_spans", "all_spans")])
-    out = found.mapInPandas(replace, schema)
+    out = documents.mapInPandas(replace, documents.schema)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(out.schema["n_chars"].dataType))
     return out.select(*documents.columns)

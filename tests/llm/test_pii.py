@@ -108,6 +108,13 @@ def test_awkward_rows_and_redaction(spark):
     assert pii.detect(docs.limit(0), pii.fit(docs.limit(0))).count() == 0
 
 
+def test_redaction_takes_one_python_pass(spark):
+    """Two in a stage kept four workers alive on an executor of two cores, through all later stages of the pipeline."""
+    docs = documents(spark, AWKWARD)
+    plan = pii.redact(docs, pii.fit(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 4))

@@ -45,3 +45,27 @@ def test_dropped_deletes_the_written_table_and_nothing_else(spark, tmp_path):
     dropped(gone)
     dropped(spark.read.parquet(other))
     assert not os.path.exists(folder) and kept.count() == 3 and spark.read.parquet(other).count() == 3
+
+
+def test_written_leaves_no_shuffle_files_and_the_setting_as_it_was(spark):
+    import os
+    import time
+
+    from colonnade.llm.shared import _CLEANUP, shuffles_dropped, written
+
+    def files():
+        folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+        return {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before, was = files(), spark.conf.get(_CLEANUP, None)
+    kept = written(spark.range(1000).groupBy("id").count(), "grouped")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 1000
+    assert spark.conf.get(_CLEANUP, None) == was
+    with pytest.raises(ZeroDivisionError), shuffles_dropped(spark):
+        assert spark.conf.get(_CLEANUP) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(_CLEANUP, None) == was
