@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -22,6 +23,10 @@ HOT_SHARE = 5e-5
 # The key sketch: buckets by key, items kept and items reported per bucket. A key is
 # missed only below 1 / (0.75 * buckets * items) of the rows, about 4e-5.
 _BUCKETS, _ITEMS, _TOP = 64, 512, 16
+# An inner join deals a key that makes more rows than this to several tasks, each of
+# which makes about so many, and starts so many tasks for them at most.
+SPREAD_ROWS = 4_000_000
+_SPREAD_TASKS = 20_000
 
 
 def auto_keys(left: Sequence[str], right: Sequence[str]) -> list[tuple[str, str]]:
@@ -91,12 +96,39 @@ def hot_keys(hashes: DataFrame, hot_rows: int, hot_share: float = HOT_SHARE) ->
     buckets share out their merging. The answer only steers the plan: the join is
     exact whatever is reported.
     """
+    total, found = _sketched(hashes)
+    limit = max(hot_rows, hot_share * total)
+    return {key for key, count in found.items() if count >= limit}
+
+
+def _sketched(hashes: DataFrame) -> tuple[int, dict[int, int]]:
+    """The number of keys present, and the frequent ones with about how often they occur."""
     bucket = F.pmod("k", F.lit(_BUCKETS)).alias("bucket")
     sketches = hashes.where("k is not null").groupBy(bucket).agg(
         F.count("k").alias("n"), F.expr(f"approx_top_k(k, {_TOP}, {_ITEMS})").alias("top")
     ).collect()
-    limit = max(hot_rows, hot_share * sum(row["n"] for row in sketches))
-    return {item["item"] for row in sketches for item in row["top"] if item["count"] >= limit}
+    return sum(row["n"] for row in sketches), {item["item"]: item["count"] for row in sketches for item in row["top"]}
+
+
+def _multiplied(left: DataFrame, right: DataFrame) -> dict[int, tuple[int, int]]:
+    """Rows on both sides of the key hashes that make more than ``SPREAD_ROWS`` rows together.
+
+    Sketches name the keys, which are then counted exactly.
+    """
+    total, often = _sketched(right)
+    if not often:
+        return {}
+    rows, many = _sketched(left)
+    # A key that a sketch does not name has at most this share of the rows.
+    share = 1 / (0.75 * _BUCKETS * _ITEMS)
+    named = [k for k in often.keys() | many.keys() if many.get(k, rows * share) * often.get(k, total * share) > SPREAD_ROWS]
+    if not named:
+        return {}
+    a, b = (
+        {r["k"]: r["n"] for r in side.where(F.col("k").isin(*named)).groupBy("k").agg(F.count("k").alias("n")).collect()}
+        for side in (left, right)
+    )
+    return {k: (a[k], b[k]) for k in a.keys() & b.keys() if a[k] * b[k] > SPREAD_ROWS}
 
 
 def join(
@@ -113,7 +145,8 @@ def join(
     left ones get the prefix ``right_table_``.
 
     Adaptive execution splits a skewed partition on the sides an outer join may
-    split; ``hot_rows`` handles the others (``None`` leaves them to Spark).
+    split; ``hot_rows`` handles the others (``None`` leaves them to Spark). It splits by
+    bytes read, so an inner join also deals keys that make many rows of few to tasks.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"join type must be one of {JOIN_TYPES}, not {how!r}")
@@ -141,6 +174,8 @@ def _split_join(lhs, rhs, lkeys, rkeys, types, how, hot_rows) -> DataFrame:
     )
     lhash = _key_hash([F.col(k) for k in lkeys], types)
     rhash = _key_hash([F.col(k) for k in rkeys], types)
+    if hot_rows is not None and how == "inner":
+        return _spread_join(lhs, rhs, lkeys, rkeys, types, match, lhash, rhash)
     hot: set[int] = set()
     if hot_rows is not None and how in ("left", "full"):
         hot |= hot_keys(rhs.select(rhash.alias("k")), hot_rows)
@@ -170,6 +205,49 @@ def _split_join(lhs, rhs, lkeys, rkeys, types, how, hot_rows) -> DataFrame:
     return reduce(DataFrame.unionAll, extra, lhs.join(rhs, match, how))
 
 
+def _spread_join(lhs, rhs, lkeys, rkeys, types, match, lhash, rhash) -> DataFrame:
+    """An inner join whose work is dealt by the rows it makes.
+
+    The pairs of rows of a key that makes many form a grid: its rows on each side fall
+    into pieces by their hash (equal rows into the same), and each cell is one piece of
+    both. A row goes to all cells of its piece.
+    """
+    counts = _multiplied(lhs.select(lhash.alias("k")), rhs.select(rhash.alias("k")))
+    if not counts:
+        return lhs.join(rhs, match, "inner")
+    grids = []
+    for key, (a, b) in counts.items():
+        cells = -(-a * b // SPREAD_ROWS)
+        across = min(a, max(1, math.ceil(math.sqrt(cells * a / b))))
+        grids.append((key, across, min(b, -(-cells // across))))
+    grid = F.broadcast(lhs.sparkSession.createDataFrame(grids, "k long, across long, down long"))
+    tasks = min(_SPREAD_TASKS, sum(across * down for _, across, down in grids))
+
+    def dealt(side: DataFrame, keys: list[str], key_hash: Column, own: str, other: str) -> tuple[DataFrame, list[str]]:
+        """Rows of the spread keys, one for each of their cells, and what they are dealt by."""
+        names = [f"{own}_{i}" for i in range(len(keys))]
+        # Both sides must be dealt by the very keys they are joined on, or they would be dealt again.
+        same = [F.col(k) if kind is None else F.col(k).cast(kind) if kind == "bigint" else key_hash for k, kind in zip(keys, types, strict=True)]
+        plain = [f.name for f in side.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+        spread = side.join(grid, key_hash == F.col("k"), "inner").select(
+            *side.columns,
+            *[c.alias(n) for c, n in zip(same, names, strict=True)],
+            F.pmod(F.xxhash64(*plain), F.col(own)).alias(f"{own}_at"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(f"{own}_to"),
+        )
+        cell = [f"{own}_at", f"{own}_to"] if own == "across" else [f"{own}_to", f"{own}_at"]
+        return spread.repartition(tasks, *names, *cell), [*names, *cell]
+
+    (left, lcells), (right, rcells) = dealt(lhs, lkeys, lhash, "across", "down"), dealt(rhs, rkeys, rhash, "down", "across")
+    cells = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in zip(lcells, rcells, strict=True)])
+    if not all(kind in (None, "bigint") for kind in types):
+        cells &= match
+    many = left.join(right.hint("merge"), cells, "inner").select(*lhs.columns, *rhs.columns)
+    spread = list(counts)
+    rest = lhs.where(~lhash.isin(*spread)).join(rhs.where(~rhash.isin(*spread)), match, "inner")
+    return rest.unionAll(many)
+
+
 def _padded(part: DataFrame, lhs: DataFrame, rhs: DataFrame) -> DataFrame:
     """One side's rows widened to the joined columns with nulls."""
     have = set(part.columns)

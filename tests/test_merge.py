@@ -141,3 +141,30 @@ def test_hot_key_of_the_unsplittable_side_is_split(spark):
     assert plain == split
     assert "skew=true" not in plain_plan
     assert "skew=true" in split_plan
+
+
+@pytest.mark.parametrize("types", [("int", "int"), ("int", "bigint"), ("double", "double"), ("string", "string"), ("int", "double")])
+def test_keys_that_make_many_rows_are_dealt_to_tasks(spark, monkeypatch, types):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(merge, "SPREAD_ROWS", 100)
+    rng = random.Random(5)
+    key = lambda: rng.choice([None, 1, 1, 1, 2, 2, *range(3, 40)])
+    left, right = (
+        spark.createDataFrame([(i // 2, key()) for i in range(n)], "i int, k int").selectExpr("i", f"cast(k as {t}) as k").repartition(3)
+        for n, t in zip((900, 300), types, strict=True)
+    )
+    joined = merge.join(left, right, "inner", [("k", "k")])
+    assert joined.columns == ["i", "k", "right_table_i"]
+    renamed = right.selectExpr("i as j", "k as rk")
+    native = left.join(renamed, left.k == renamed.rk).select("i", "k", "j")
+    assert rows(joined) == rows(native)
+    if types != ("int", "double"):
+        dealt = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) > 8 and max(r["count"] for r in dealt) < joined.count() / 4
+
+
+def test_a_join_of_few_rows_a_key_keeps_its_plan(spark):
+    left, right = (spark.range(50).selectExpr("id as k", f"id as {name}") for name in "ab")
+    plan = merge.join(left, right, "inner", [("k", "k")])._jdf.queryExecution().toString()
+    assert "Union" not in plan and "explode" not in plan.lower()
